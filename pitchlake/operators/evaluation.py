@@ -185,7 +185,7 @@ def paired_bootstrap(
                 if len(counts) == 1:
                     draws.append(counts.tolist())
                     continue
-                rng = np.random.default_rng([seed, group & 0xFFFFFFFFFFFFFFFF, int(replicate)])
+                rng = np.random.default_rng([seed, int(group) & 0xFFFFFFFFFFFFFFFF, int(replicate)])
                 draws.append(rng.multinomial(counts.sum(), counts / counts.sum()).tolist())
             yield pd.DataFrame({"_g": batch["_g"], "_r": batch["_r"], "_list": batch["_list"], "_m": draws})
 
@@ -204,7 +204,7 @@ def paired_bootstrap(
         replicates_, totals = [], []
         for entry in draws["_draws"].iloc[0]:
             r, m = int(entry["_r"]), int(entry["_m"])
-            rng = np.random.default_rng([seed, group & 0xFFFFFFFFFFFFFFFF, int(block), r, 1])
+            rng = np.random.default_rng([seed, int(group) & 0xFFFFFFFFFFFFFFFF, int(block), r, 1])
             replicates_.append(r)
             totals.append(float(values[rng.integers(0, len(values), m)].sum()) if m else 0.0)
         return pd.DataFrame({"_g": group, "_r": replicates_, "_total": totals})
