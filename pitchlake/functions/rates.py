@@ -19,6 +19,11 @@ def col(value: Column | float | int) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a lambda variable; an alias would be inlined)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- Elo ---------------------------------------------------------------------------------------------
 
 
@@ -154,28 +159,23 @@ def score_grid(
 ) -> Column:
     """The full normalised grid, ``ARRAY<STRUCT<h INT, a INT, p DOUBLE>>`` in row-major order."""
     cells = [(x, y) for x in range(max_goals + 1) for y in range(max_goals + 1)]
-    home_terms, away_terms = poisson_terms(home_rate, max_goals), poisson_terms(away_rate, max_goals)
     scores = F.array(*[F.struct(F.lit(x).alias("h"), F.lit(y).alias("a")) for x, y in cells])
-    grid = F.transform(
-        scores,
-        lambda s: F.struct(
-            s["h"].alias("h"), s["a"].alias("a"), (F.get(home_terms, s["h"]) * F.get(away_terms, s["a"])).alias("p")
-        ),
+    terms = F.struct(
+        poisson_terms(home_rate, max_goals).alias("h"),
+        poisson_terms(away_rate, max_goals).alias("a"),
     )
-    grid = normalize_grid(grid)
-    if rho is None:
-        return grid
-    corrected = F.transform(
-        grid,
-        lambda s: F.struct(
-            s["h"].alias("h"),
-            s["a"].alias("a"),
-            F.greatest(
-                s["p"] * low_score_factor(s["h"], s["a"], home_rate, away_rate, rho), F.lit(CELL_FLOOR)
-            ).alias("p"),
-        ),
+
+    def cell(s: Column, p: Column) -> Column:
+        return F.struct(s["h"].alias("h"), s["a"].alias("a"), p.alias("p"))
+
+    def corrected(s: Column) -> Column:
+        factor = low_score_factor(s["h"], s["a"], home_rate, away_rate, rho)
+        return cell(s, F.greatest(s["p"] * factor, F.lit(CELL_FLOOR)))
+
+    grid = normalize_grid(
+        bind(terms, lambda t: F.transform(scores, lambda s: cell(s, F.get(t["h"], s["h"]) * F.get(t["a"], s["a"]))))
     )
-    return normalize_grid(corrected)
+    return grid if rho is None else normalize_grid(F.transform(grid, corrected))
 
 
 def grid_mass(grid: Column, keep=None) -> Column:
@@ -185,22 +185,39 @@ def grid_mass(grid: Column, keep=None) -> Column:
 
 def normalize_grid(grid: Column) -> Column:
     """Divide by the grid's mass; a grid without mass is an error."""
-    mass = grid_mass(grid)
-    checked = F.when(mass > 0, mass).otherwise(
-        F.raise_error(F.lit("score distribution has no probability mass")).cast("double")
-    )
-    return F.transform(
-        grid, lambda s: F.struct(s["h"].alias("h"), s["a"].alias("a"), (s["p"] / checked).alias("p"))
-    )
+
+    def divided(g: Column) -> Column:
+        mass = grid_mass(g)
+        checked = F.when(mass > 0, mass).otherwise(
+            F.raise_error(F.lit("score distribution has no probability mass")).cast("double")
+        )
+        return bind(
+            checked,
+            lambda total: F.transform(
+                g, lambda s: F.struct(s["h"].alias("h"), s["a"].alias("a"), (s["p"] / total).alias("p"))
+            ),
+        )
+
+    return bind(grid, divided)
 
 
 def outcomes_from_grid(grid: Column) -> Column:
     """STRUCT of ``p_home, p_draw, p_away`` summed over an explicit grid and renormalised."""
-    home = grid_mass(grid, lambda s: s["h"] > s["a"])
-    draw = grid_mass(grid, lambda s: s["h"] == s["a"])
-    away = grid_mass(grid, lambda s: s["h"] < s["a"])
-    total = home + draw + away
-    return F.struct((home / total).alias("p_home"), (draw / total).alias("p_draw"), (away / total).alias("p_away"))
+
+    def summed(g: Column) -> Column:
+        home = grid_mass(g, lambda s: s["h"] > s["a"])
+        draw = grid_mass(g, lambda s: s["h"] == s["a"])
+        away = grid_mass(g, lambda s: s["h"] < s["a"])
+        parts = F.struct(home.alias("h"), draw.alias("d"), away.alias("a"))
+        return bind(parts, shares)
+
+    def shares(t: Column) -> Column:
+        total = t["h"] + t["d"] + t["a"]
+        return F.struct(
+            (t["h"] / total).alias("p_home"), (t["d"] / total).alias("p_draw"), (t["a"] / total).alias("p_away")
+        )
+
+    return bind(grid, summed)
 
 
 def grid_cell(grid: Column, home_goals: Column, away_goals: Column) -> Column:
