@@ -107,9 +107,20 @@ def goal_outcomes(
     probability 0.  The 1e-15 floor of corrected cells is applied to the four cells the correction can push
     down and to the scored one; on the others it would add at most 81e-15.
     """
+    inputs = F.struct(
+        home_rate.alias("lam"),
+        away_rate.alias("mu"),
+        col(rho).alias("rho"),
+        col(max_goals).alias("top"),
+        (F.lit(0) if home_goals is None else home_goals).alias("x"),
+        (F.lit(0) if away_goals is None else away_goals).alias("y"),
+    )
+    return bind(inputs, _fold_outcomes)
+
+
+def _fold_outcomes(v: Column) -> Column:
     zero, one = F.lit(0.0), F.lit(1.0)
-    x = F.lit(0) if home_goals is None else home_goals
-    y = F.lit(0) if away_goals is None else away_goals
+    home_rate, away_rate, rho, max_goals, x, y = (v[name] for name in ("lam", "mu", "rho", "top", "x", "y"))
     start = F.struct(
         one.alias("h"), one.alias("a"), one.alias("hs"), one.alias("as"),
         zero.alias("home"), one.alias("draw"), zero.alias("away"),
@@ -132,18 +143,17 @@ def goal_outcomes(
 
     def finish(acc: Column) -> Column:
         mass = acc["hs"] * acc["as"]
-        r = col(rho)
 
         def shift(i: int, j: int, cell: Column) -> Column:
-            factor = low_score_factor(F.lit(i), F.lit(j), home_rate, away_rate, r)
+            factor = low_score_factor(F.lit(i), F.lit(j), home_rate, away_rate, rho)
             return F.greatest(cell * factor, F.lit(CELL_FLOOR)) - cell
 
         home = acc["home"] / mass + shift(1, 0, home_rate / mass)
         draw = acc["draw"] / mass + shift(0, 0, one / mass) + shift(1, 1, home_rate * away_rate / mass)
         away = acc["away"] / mass + shift(0, 1, away_rate / mass)
         total = home + draw + away
-        cell = acc["hx"] * acc["ay"] / mass * low_score_factor(x, y, home_rate, away_rate, r)
-        inside = (x <= col(max_goals)) & (y <= col(max_goals))
+        cell = acc["hx"] * acc["ay"] / mass * low_score_factor(x, y, home_rate, away_rate, rho)
+        inside = (x <= max_goals) & (y <= max_goals)
         return F.struct(
             (home / total).alias("p_home"),
             (draw / total).alias("p_draw"),
@@ -151,7 +161,7 @@ def goal_outcomes(
             F.when(inside, F.greatest(cell, F.lit(CELL_FLOOR)) / total).otherwise(zero).alias("p_score"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), col(max_goals)), start, step, finish)
+    return F.aggregate(F.sequence(F.lit(1), max_goals), start, step, finish)
 
 
 def score_grid(

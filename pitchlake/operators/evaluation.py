@@ -131,9 +131,7 @@ def aggregate_metrics(
 def paired_delta(df: DataFrame, by: Sequence[str], model: str = "rps", benchmark: str = "market_rps") -> DataFrame:
     """Pairs and mean of model minus benchmark over rows that have both."""
     delta = F.col(model) - F.col(benchmark)
-    return df.filter(delta.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg(delta).alias("mean_delta")
-    )
+    return df.groupBy(*by).agg(F.count(delta).alias("pairs"), F.avg(delta).alias("mean_delta")).filter("pairs > 0")
 
 
 def paired_bootstrap(
@@ -162,10 +160,12 @@ def paired_bootstrap(
     by = list(by)
     delta = F.col(model) - F.col(benchmark)
     group_key = F.to_json(F.struct(*by)) if by else F.lit("{}")
-    pairs = df.filter(delta.isNotNull()).select(
+    # Through a generator, because a filter on the delta itself would be pushed below the model and make the
+    # scan compute every forecast twice.
+    pairs = df.select(
         *by, F.xxhash64(group_key).alias("_g"), F.xxhash64(F.col(row_id).cast("string")).alias("_row"),
-        delta.cast("double").alias("_delta"),
-    )
+        F.explode(F.array(delta.cast("double"))).alias("_delta"),
+    ).filter(F.col("_delta").isNotNull())
     sizes = pairs.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("pairs"), F.avg("_delta").alias("mean_delta"))
     sizes = sizes.withColumn("_blocks", F.ceil(F.col("pairs") / F.lit(block_rows)).cast("int"))
     placed = pairs.join(sizes.select("_g", "_blocks"), "_g").select(
