@@ -672,7 +672,7 @@ from s where enabled""",
     "map_payload_hashes": """
 select conv_id, turn, sha256('{"conversation":"' || conv_id || '","role":"' || role || '"}') as content_sha256 from conversations""",
     "normalized_names": """
-with f as (select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) as name from documents)
+with f as (select doc_id, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) as name from documents)
 select doc_id, cast(length(name) as int) as name_length, md5(name) as name_md5 from f""",
     "stamped_records": f"""select {_uuid5("'raw_evidence:web:' || page_id")} as record_id, cast(page_id as varchar) as evidence_key,
   url as canonical_url, 'text/html' as media_type, sha256(html) as content_sha256, 'raw' as verification_state,
