@@ -77,18 +77,25 @@ def poisson_terms(rate: Column, max_goals: int = 8) -> Column:
     return F.array(*[poisson_pmf(k, rate) for k in range(max_goals + 1)])
 
 
+def low_score_factors(home_rate: Column, away_rate: Column, rho: Column | float) -> dict[tuple[int, int], Column]:
+    """Dixon-Coles correction of the four low scores; every other score keeps its probability."""
+    r = col(rho)
+    return {
+        (0, 0): 1.0 - home_rate * away_rate * r,
+        (0, 1): 1.0 + home_rate * r,
+        (1, 0): 1.0 + away_rate * r,
+        (1, 1): 1.0 - r,
+    }
+
+
 def low_score_factor(
     home_goals: Column, away_goals: Column, home_rate: Column, away_rate: Column, rho: Column | float
 ) -> Column:
-    """Dixon-Coles correction of the four low scores, 1 elsewhere."""
-    r = col(rho)
-    return (
-        F.when((home_goals == 0) & (away_goals == 0), 1.0 - home_rate * away_rate * r)
-        .when((home_goals == 0) & (away_goals == 1), 1.0 + home_rate * r)
-        .when((home_goals == 1) & (away_goals == 0), 1.0 + away_rate * r)
-        .when((home_goals == 1) & (away_goals == 1), 1.0 - r)
-        .otherwise(1.0)
-    )
+    """The correction of one score."""
+    factor = F.lit(1.0)
+    for (x, y), value in low_score_factors(home_rate, away_rate, rho).items():
+        factor = F.when((home_goals == x) & (away_goals == y), value).otherwise(factor)
+    return factor
 
 
 def goal_outcomes(
@@ -143,10 +150,10 @@ def _fold_outcomes(v: Column) -> Column:
 
     def finish(acc: Column) -> Column:
         mass = acc["hs"] * acc["as"]
+        factors = low_score_factors(home_rate, away_rate, rho)
 
         def shift(i: int, j: int, cell: Column) -> Column:
-            factor = low_score_factor(F.lit(i), F.lit(j), home_rate, away_rate, rho)
-            return F.greatest(cell * factor, F.lit(CELL_FLOOR)) - cell
+            return F.greatest(cell * factors[i, j], F.lit(CELL_FLOOR)) - cell
 
         home = acc["home"] / mass + shift(1, 0, home_rate / mass)
         draw = acc["draw"] / mass + shift(0, 0, one / mass) + shift(1, 1, home_rate * away_rate / mass)

@@ -175,8 +175,7 @@ def prefix_state(
     day = F.unix_date(F.col(at).cast("date"))
     rows = rows.withColumns({b: F.floor(day / F.lit(days)).cast("int") for b, days in zip(buckets, bucket_days)})
     # Stated here because joining on these columns implies it: both branches below then plan identically.
-    for column in (*keys, *buckets, at):
-        rows = rows.filter(F.col(column).isNotNull())
+    rows = rows.dropna(subset=[*keys, *buckets, at])
     instants = rows.groupBy(*keys, *buckets, at).agg(
         F.max("_probe").alias("_probe"), *[_MERGE[how](name).alias(name) for name, how in merges.items()]
     )
@@ -218,3 +217,44 @@ def asof_join(
         *[F.col(f"_last.row.{c}").alias(f"{prefix}{c}") for c in take],
     )
     return left.join(found, [*keys, left_at], "left")
+
+
+def last_before(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_at: str,
+    right_at: str,
+    take: Sequence[str],
+    tie: Sequence[str] = (),
+    prefix: str = "",
+) -> DataFrame:
+    """``asof_join`` for a left side with few instants per key, such as one match at a few lead times.
+
+    Right rows cross the network once: they are joined on the key, cut at the instant and reduced in the same
+    task.  A key with very many right rows is split by the adaptive skew join, and the reduction then combines
+    the splits.  Pairs per key are its left instants times its right rows, hence the restriction.
+    """
+    keys = list(keys)
+    epoch = F.lit("1970-01-01").cast(right.schema[right_at].dataType)
+    rest = [c for c in dict.fromkeys([*tie, *take]) if c not in keys]
+    rows = right.select(
+        *keys,
+        F.struct((epoch - F.col(right_at)).alias("_back"), *rest, F.col(right_at).alias("_at")).alias("_row"),
+        F.col(right_at).alias("_right_at"),
+    )
+    probes = left.select(*keys, left_at)
+    # Latest first, then the smallest tie columns: the minimum of (distance back, tie, ...).
+    found = (
+        probes.join(rows, keys)
+        .filter(F.col("_right_at") <= F.col(left_at))
+        .groupBy(*keys, left_at)
+        .agg(F.min("_row").alias("_row"))
+        .select(
+            *keys,
+            left_at,
+            F.col("_row._at").alias(f"{prefix}{right_at}"),
+            *[F.col(f"_row.{c}").alias(f"{prefix}{c}") for c in take],
+        )
+    )
+    return left.join(found, [*keys, left_at], "left")

@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", *, partitions: int = 8, memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+        # Recording a Python stack per column expression dominates the building of larger plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
