@@ -1,15 +1,17 @@
 """Rating and goal-model arithmetic as Column expressions.
 
-The Poisson and Dixon-Coles outcome probabilities are folded over the marginal terms rather than the
-(n+1)² grid: without low-score correction the grid is a product, and the correction touches four cells.
-``score_grid`` builds the explicit grid where the cells themselves are wanted.
+Poisson and Dixon-Coles outcome probabilities are sums over the marginal terms rather than the (n+1)² grid:
+without low-score correction the grid is a product, and the correction touches four cells.  ``score_grid``
+builds the explicit grid where the cells themselves are wanted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import factorial
+from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL_FLOOR = 1e-15
@@ -98,77 +100,82 @@ def low_score_factor(
     return factor
 
 
-def goal_outcomes(
-    home_rate: Column,
-    away_rate: Column,
+def with_goal_outcomes(
+    df: DataFrame,
+    home_rate: str,
+    away_rate: str,
     *,
     rho: Column | float = 0.0,
-    max_goals: Column | int = 8,
+    max_goals: int = 8,
+    limit: Column | None = None,
     home_goals: Column | None = None,
     away_goals: Column | None = None,
-) -> Column:
-    """STRUCT of ``p_home, p_draw, p_away, p_score``: outcomes and the probability of the given score.
+) -> DataFrame:
+    """Add ``p_home, p_draw, p_away, p_actual_score``: outcomes and the probability of the given score.
+
+    Written over the marginal terms ``rate**k / k!`` (the exponentials cancel in the normalisation) and
+    their running sums, as straight-line arithmetic in three projections that compile to one stage.  A score
+    outside the grid has probability 0; ``limit`` lowers ``max_goals`` per row.  The 1e-15 floor of
+    corrected cells is applied to the four cells the correction can push down and to the scored one; on the
+    others it would add at most 81e-15.
 
-    One fold over k = 1..max_goals carries the k-th marginal terms and their running sums, which is all the
-    product grid needs (the exponentials cancel in the normalisation).  A score outside the grid has
-    probability 0.  The 1e-15 floor of corrected cells is applied to the four cells the correction can push
-    down and to the scored one; on the others it would add at most 81e-15.
+    The result passes through a generator, so that a filter on a probability is applied to the computed
+    value instead of being pushed below and computing it again.
     """
-    inputs = F.struct(
-        home_rate.alias("lam"),
-        away_rate.alias("mu"),
-        col(rho).alias("rho"),
-        col(max_goals).alias("top"),
-        (F.lit(0) if home_goals is None else home_goals).alias("x"),
-        (F.lit(0) if away_goals is None else away_goals).alias("y"),
-    )
-    return bind(inputs, _fold_outcomes)
+    columns = df.columns
+    lam, mu = F.col(home_rate), F.col(away_rate)
+    goals = range(max_goals + 1)
 
+    def term(rate: Column, k: int) -> Column:
+        value = F.pow(rate, F.lit(float(k))) / float(factorial(k)) if k > 1 else rate if k else F.lit(1.0)
+        return value if limit is None or k == 0 else F.when(limit >= k, value).otherwise(0.0)
 
-def _fold_outcomes(v: Column) -> Column:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    home_rate, away_rate, rho, max_goals, x, y = (v[name] for name in ("lam", "mu", "rho", "top", "x", "y"))
-    start = F.struct(
-        one.alias("h"), one.alias("a"), one.alias("hs"), one.alias("as"),
-        zero.alias("home"), one.alias("draw"), zero.alias("away"),
-        F.when(x == 0, one).otherwise(zero).alias("hx"), F.when(y == 0, one).otherwise(zero).alias("ay"),
+    rows = df.withColumns(
+        {f"_h{k}": term(lam, k) for k in goals} | {f"_a{k}": term(mu, k) for k in goals}
     )
-
-    def step(acc: Column, k: Column) -> Column:
-        h, a = acc["h"] * home_rate / k, acc["a"] * away_rate / k
-        return F.struct(
-            h.alias("h"),
-            a.alias("a"),
-            (acc["hs"] + h).alias("hs"),
-            (acc["as"] + a).alias("as"),
-            (acc["home"] + h * acc["as"]).alias("home"),
-            (acc["draw"] + h * a).alias("draw"),
-            (acc["away"] + a * acc["hs"]).alias("away"),
-            F.when(x == k, h).otherwise(acc["hx"]).alias("hx"),
-            F.when(y == k, a).otherwise(acc["ay"]).alias("ay"),
-        )
-
-    def finish(acc: Column) -> Column:
-        mass = acc["hs"] * acc["as"]
-        factors = low_score_factors(home_rate, away_rate, rho)
-
-        def shift(i: int, j: int, cell: Column) -> Column:
-            return F.greatest(cell * factors[i, j], F.lit(CELL_FLOOR)) - cell
-
-        home = acc["home"] / mass + shift(1, 0, home_rate / mass)
-        draw = acc["draw"] / mass + shift(0, 0, one / mass) + shift(1, 1, home_rate * away_rate / mass)
-        away = acc["away"] / mass + shift(0, 1, away_rate / mass)
-        total = home + draw + away
-        cell = acc["hx"] * acc["ay"] / mass * low_score_factor(x, y, home_rate, away_rate, rho)
-        inside = (x <= max_goals) & (y <= max_goals)
-        return F.struct(
-            (home / total).alias("p_home"),
-            (draw / total).alias("p_draw"),
-            (away / total).alias("p_away"),
-            F.when(inside, F.greatest(cell, F.lit(CELL_FLOOR)) / total).otherwise(zero).alias("p_score"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), max_goals), start, step, finish)
+    h, a = [F.col(f"_h{k}") for k in goals], [F.col(f"_a{k}") for k in goals]
+
+    def total(parts: list[Column]) -> Column:
+        return reduce(add, parts)
+
+    def at(terms: list[Column], index: Column | None) -> Column:
+        picked = F.lit(0.0)
+        for k in goals:
+            picked = F.when(index == k, terms[k]).otherwise(picked)
+        return picked
+
+    x = F.lit(0) if home_goals is None else home_goals
+    y = F.lit(0) if away_goals is None else away_goals
+    rows = rows.withColumns(
+        {
+            "_mass": total(h) * total(a),
+            "_home": total([h[k] * total(a[:k]) for k in goals[1:]]),
+            "_draw": total([h[k] * a[k] for k in goals]),
+            "_away": total([a[k] * total(h[:k]) for k in goals[1:]]),
+            "_cell": at(h, x) * at(a, y) * low_score_factor(x, y, lam, mu, rho),
+            "_inside": (x <= (max_goals if limit is None else limit)) & (y <= (max_goals if limit is None else limit)),
+        }
+    )
+    mass = F.col("_mass")
+    factors = low_score_factors(lam, mu, rho)
+
+    def shift(i: int, j: int, cell: Column) -> Column:
+        return F.greatest(cell * factors[i, j], F.lit(CELL_FLOOR)) - cell
+
+    rows = rows.withColumns(
+        {
+            "_home": F.col("_home") / mass + shift(1, 0, lam / mass),
+            "_draw": F.col("_draw") / mass + shift(0, 0, 1.0 / mass) + shift(1, 1, lam * mu / mass),
+            "_away": F.col("_away") / mass + shift(0, 1, mu / mass),
+        }
+    ).withColumn("_total", F.col("_home") + F.col("_draw") + F.col("_away"))
+    outcome = F.struct(
+        *[(F.col(f"_{name}") / F.col("_total")).alias(f"p_{name}") for name in ("home", "draw", "away")],
+        F.when(F.col("_inside"), F.greatest(F.col("_cell") / mass, F.lit(CELL_FLOOR)) / F.col("_total"))
+        .otherwise(0.0)
+        .alias("p_actual_score"),
+    )
+    return rows.select(*columns, F.inline(F.array(outcome)))
 
 
 def score_grid(

@@ -9,6 +9,8 @@ calendar (instants in a bucket, buckets in the history), however many source row
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,9 +175,9 @@ def prefix_state(
     rows = fact_rows.unionByName(probe_rows, allowMissingColumns=True)
     buckets = [f"_bucket_{days}" for days in bucket_days]
     day = F.unix_date(F.col(at).cast("date"))
-    rows = rows.withColumns({b: F.floor(day / F.lit(days)).cast("int") for b, days in zip(buckets, bucket_days)})
+    rows = rows.withColumns({b: day - F.pmod(day, F.lit(days)) for b, days in zip(buckets, bucket_days)})
     # Stated here because joining on these columns implies it: both branches below then plan identically.
-    rows = rows.dropna(subset=[*keys, *buckets, at])
+    rows = rows.filter(reduce(and_, [F.col(column).isNotNull() for column in (*keys, *buckets, at)]))
     instants = rows.groupBy(*keys, *buckets, at).agg(
         F.max("_probe").alias("_probe"), *[_MERGE[how](name).alias(name) for name, how in merges.items()]
     )

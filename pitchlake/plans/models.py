@@ -262,22 +262,15 @@ def goal_forecasts(state: DataFrame, models: Sequence[PoissonModel | DixonColesM
         ]
     )
     rows = _goal_rates(state.select(*state.columns, F.inline(grid)), F.col("_k"), F.col("_low"), F.col("_high"))
-    outcomes = rates.goal_outcomes(
-        F.col("expected_home_goals"),
-        F.col("expected_away_goals"),
+    largest = max(x.max_goals for x in models)
+    rows = rates.with_goal_outcomes(
+        rows,
+        "expected_home_goals",
+        "expected_away_goals",
         rho=F.col("_rho"),
-        max_goals=F.col("_max"),
+        max_goals=largest,
+        limit=None if all(x.max_goals == largest for x in models) else F.col("_max"),
         home_goals=F.col("home_goals"),
         away_goals=F.col("away_goals"),
     )
-    return rows.withColumn("_o", outcomes).select(
-        *[c for c in state.columns if c not in STATE_COLUMNS],
-        "model_key",
-        "config_id",
-        "expected_home_goals",
-        "expected_away_goals",
-        F.col("_o.p_home").alias("p_home"),
-        F.col("_o.p_draw").alias("p_draw"),
-        F.col("_o.p_away").alias("p_away"),
-        F.col("_o.p_score").alias("p_actual_score"),
-    )
+    return rows.select(*[c for c in state.columns if c not in STATE_COLUMNS], *FORECAST_COLUMNS)

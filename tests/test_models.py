@@ -86,20 +86,20 @@ def test_mixed_grid_keeps_one_row_per_run_and_target(matches, history):
     assert bt.leakage(rows).isEmpty()
 
 
-def test_explicit_grid_agrees_with_the_fold(spark):
+def test_explicit_grid_agrees_with_the_sums(spark):
     df = spark.createDataFrame([(1.3, 0.9), (0.05, 5.0), (4.9, 0.05)], "l double, m double")
     for rho in (None, -0.08):
         grid = rates.score_grid(F.col("l"), F.col("m"), rho=rho)
-        fold = rates.goal_outcomes(F.col("l"), F.col("m"), rho=rho or 0.0, home_goals=F.lit(2), away_goals=F.lit(1))
-        out = df.select(
-            rates.outcomes_from_grid(grid).alias("g"), fold.alias("f"), rates.grid_mass(grid).alias("mass"),
+        summed = rates.with_goal_outcomes(df, "l", "m", rho=rho or 0.0, home_goals=F.lit(2), away_goals=F.lit(1))
+        out = summed.select(
+            rates.outcomes_from_grid(grid).alias("g"), F.struct("p_home", "p_draw", "p_away", "p_actual_score").alias("f"), rates.grid_mass(grid).alias("mass"),
             F.size(grid).alias("cells"), rates.grid_cell(grid, F.lit(2), F.lit(1)).alias("c"),
             rates.grid_cell(grid, F.lit(9), F.lit(0)).alias("none"),
         )
         for r in out.collect():
             assert r["cells"] == 81 and r["mass"] == pytest.approx(1.0, abs=1e-12)
             assert tuple(r["g"]) == pytest.approx(tuple(r["f"])[:3], abs=1e-12)
-            assert r["c"] == pytest.approx(r["f"]["p_score"], abs=1e-12)
+            assert r["c"] == pytest.approx(r["f"]["p_actual_score"], abs=1e-12)
             assert r["none"] is None
 
 
