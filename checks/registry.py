@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import forecasts, history
+from checks import forecasts, history, streams
 
-_MODULES = (forecasts, history)
+_MODULES = (forecasts, history, streams)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -63,18 +63,20 @@ IDENTITY: Mapping[str, tuple[str, tuple[str, ...]]] = {
 def collapse(incoming: DataFrame, id_column: str, fields: Sequence[str]) -> DataFrame:
     """One row per id with ``_occurrences`` and the fields on which the batch contradicts itself.
 
-    Repeats of an id within a batch count as existing rows when they agree.
+    Repeats of an id within a batch count as existing rows when they agree.  Of the fields that differ, those
+    between the smallest and the largest row are named, which always includes one.
     """
     rest = [c for c in incoming.columns if c != id_column]
-    disagree = [
-        F.when(~F.min(F.struct(f)).eqNullSafe(F.max(F.struct(f))), F.lit(f)) for f in fields
-    ]
+    ordered = [*fields, *[c for c in rest if c not in fields]]
     grouped = incoming.groupBy(id_column).agg(
-        F.min(F.struct(*rest)).alias("_row"),
+        F.min(F.struct(*ordered)).alias("_row"),
+        F.max(F.struct(*fields)).alias("_other"),
         F.count(F.lit(1)).alias("_occurrences"),
-        F.array_compact(F.array(*disagree)).alias("_disagreeing"),
     )
-    return grouped.select(id_column, "_row.*", "_occurrences", "_disagreeing")
+    differing = [F.when(~F.col(f"_row.{f}").eqNullSafe(F.col(f"_other.{f}")), F.lit(f)) for f in fields]
+    return grouped.select(
+        id_column, "_row.*", "_occurrences", F.array_compact(F.array(*differing)).alias("_disagreeing")
+    )
 
 
 def classify(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.functions import scores
+from pitchlake.session import ensure_checkpoint_dir
 
 CLASSES = ("home", "draw", "away")
 LOWER_QUANTILE, UPPER_QUANTILE = 0.025, 0.975
@@ -166,6 +167,9 @@ def paired_bootstrap(
         *by, F.xxhash64(group_key).alias("_g"), F.xxhash64(F.col(row_id).cast("string")).alias("_row"),
         F.explode(F.array(delta.cast("double"))).alias("_delta"),
     ).filter(F.col("_delta").isNotNull())
+    # Sizes, blocks and draws each read the deltas; the forecasts behind them are computed once.
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = pairs.checkpoint()
     sizes = pairs.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("pairs"), F.avg("_delta").alias("mean_delta"))
     sizes = sizes.withColumn("_blocks", F.ceil(F.col("pairs") / F.lit(block_rows)).cast("int"))
     placed = pairs.join(sizes.select("_g", "_blocks"), "_g").select(
