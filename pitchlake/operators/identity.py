@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from pitchlake.session import ensure_checkpoint_dir
 
-MAX_ROUNDS = 40  # chains double in length per round
-
 
 def current_identity(events: DataFrame, known_at: Column | None = None) -> DataFrame:
     """Where every merged entity ended up: ``entity_id, current_id``.
 
     ``events``: event_id, event_type (``merge`` or ``split``), subject_entity_id, target_entity_id,
     occurred_at.  Each subject's last event decides; a split makes it stand alone again.  Chains are
-    followed by pointer doubling, every round checkpointed; a cycle is an error.
+    followed by pointer doubling, each round checkpointed; a cycle is an error.
     """
     rows = events if known_at is None else events.filter(F.col("occurred_at") <= known_at)
     last = rows.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(
@@ -26,7 +24,8 @@ def current_identity(events: DataFrame, known_at: Column | None = None) -> DataF
     )
     ensure_checkpoint_dir(events.sparkSession)
     links = links.checkpoint()
-    for _ in range(MAX_ROUNDS):
+    # A round doubles the length followed, so n links settle within this many; only a cycle needs more.
+    for _ in range(links.count().bit_length() + 1):
         onward = links.select(F.col("entity_id").alias("current_id"), F.col("current_id").alias("_next"))
         moved = links.join(onward, "current_id", "left").select(
             "entity_id", F.coalesce("_next", "current_id").alias("current_id"), F.col("_next").isNotNull().alias("_moved")

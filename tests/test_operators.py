@@ -148,7 +148,7 @@ def test_ingest_runs(spark):
 
 
 def test_head_to_head_decides_before_goal_difference(spark):
-    results = [("a", "b", 1, 0), ("b", "a", 0, 0), ("a", "c", 0, 1), ("b", "c", 9, 0), ("c", "a", 0, 0), ("c", "b", 0, 0)]
+    results = [("a", "b", 1, 0), ("b", "a", 0, 0), ("a", "c", 0, 1), ("b", "c", 9, 0), ("c", "a", 1, 0), ("c", "b", 1, 0)]
     df = spark.createDataFrame(
         [("x", *r) for r in results], "competition_key string, home_club_id string, away_club_id string, home_goals int, away_goals int"
     )
@@ -157,9 +157,9 @@ def test_head_to_head_decides_before_goal_difference(spark):
         rows = league.league_table(df, ranking=ranking).orderBy("position", "club_id").collect()
         return [(r["club_id"], r["points"], r["position"]) for r in rows]
 
-    # a 5, b 5, c 6; a beat b, but b has the better goal difference
-    assert order(("points", "head_to_head_points", "goal_difference")) == [("c", 6, 1), ("a", 5, 2), ("b", 5, 3)]
-    assert order(("points", "goal_difference")) == [("c", 6, 1), ("b", 5, 2), ("a", 5, 3)]
+    # a and b have 4 points; a beat b, but b has the better goal difference
+    assert order(("points", "head_to_head_points", "goal_difference")) == [("c", 9, 1), ("a", 4, 2), ("b", 4, 3)]
+    assert order(("points", "goal_difference")) == [("c", 9, 1), ("b", 4, 2), ("a", 4, 3)]
     assert [p for _, _, p in order(("points", "drawing_of_lots"))] == [1, 2, 2]
     with pytest.raises(ValueError):
         order(("coin",))
