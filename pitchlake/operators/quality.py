@@ -161,6 +161,9 @@ TEAM_STATE_RULES = (at_least("uncertainty", 0.0),)
 
 ALIAS_RULES = (window_not_empty(),)
 
+# Provider mappings and stored aliases also carry a confidence.
+SOURCE_ENTITY_RULES = (window_not_empty(), probability("confidence"))
+
 CANDIDATE_SCORE_RULES = (probability("score"), probability("name_score"))
 
 COMPETITION_RULES = (

@@ -66,26 +66,34 @@ def timeline_faults(
         *[F.min(p).alias(f"_min_{p}") for p in participants],
         *[F.max(p).alias(f"_max_{p}") for p in participants],
     )
+    # Every revision also appears as the predecessor of the next number, and meets it there.
+    shared = [f"_{end}_{p}" for p in participants for end in ("min", "max")]
+    absent = [F.lit(None).cast(per_number.schema[c].dataType).alias(c) for c in shared]
+    clock = per_number.schema["_observed"].dataType
+    number = F.col(revision)
+    own = F.struct(
+        number.alias("_n"), F.col("_rows"), F.col("_observed").alias("_now"), F.lit(None).cast(clock).alias("_before"),
+        *[F.col(c) for c in shared],
+    )
+    following = F.struct(
+        (number + 1).cast(per_number.schema[revision].dataType).alias("_n"), F.lit(None).cast("bigint").alias("_rows"),
+        F.lit(None).cast(clock).alias("_now"), F.col("_observed").alias("_before"), *absent,
+    )
+    paired = (
+        per_number.select(fixture, F.inline(F.array(own, following)))
+        .groupBy(fixture, "_n")
+        .agg(*[F.max(c).alias(c) for c in ("_rows", "_now", "_before", *shared)])
+    )
+    present = F.col("_rows").isNotNull()
+    first, last = F.min(F.when(present, F.col("_n"))), F.max(F.when(present, F.col("_n")))
     moved = F.lit(False)
     for p in participants:
         moved = moved | F.coalesce(F.min(f"_min_{p}") != F.max(f"_max_{p}"), F.lit(False))
-    per_fixture = per_number.groupBy(fixture).agg(
-        (
-            (F.min(revision) != 1) | (F.max(revision) != F.count(F.lit(1))) | (F.max("_rows") != 1)
-        ).alias("_gaps"),
+    judged = paired.groupBy(fixture).agg(
+        ((first != 1) | (last != F.count(F.when(present, 1))) | (F.max("_rows") != 1)).alias("_gaps"),
         moved.alias("_moved"),
+        F.max(F.coalesce(F.col("_now") < F.col("_before"), F.lit(False))).alias("_back"),
     )
-    as_current = per_number.select(fixture, F.col(revision).alias("_n"), F.col("_observed").alias("_now"))
-    as_previous = per_number.select(fixture, (F.col(revision) + 1).alias("_n"), F.col("_observed").alias("_before"))
-    backwards = (
-        as_current.unionByName(as_previous, allowMissingColumns=True)
-        .groupBy(fixture, "_n")
-        .agg(F.max("_now").alias("_now"), F.max("_before").alias("_before"))
-        .filter(F.col("_now") < F.col("_before"))
-        .groupBy(fixture)
-        .agg(F.lit(True).alias("_back"))
-    )
-    judged = per_fixture.join(backwards, fixture, "left")
     rules = F.array_compact(
         F.array(
             F.when(F.col("_gaps"), F.lit("revisions_contiguous")),

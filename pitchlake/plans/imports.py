@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchlake.functions.ids import canonical_id, optional_id
 from pitchlake.functions.timing import to_utc
 from pitchlake.operators import canonical as c
+from pitchlake.session import ensure_checkpoint_dir
 from pitchlake.sources import documents as d
 from pitchlake.sources.store import TableStore
 
@@ -79,9 +80,9 @@ def seed_tables(flat: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def history_tables(observations: DataFrame) -> dict[str, DataFrame]:
     """Match identities and revisions of flattened observations (times as instants)."""
     match_id = canonical_id("match", F.col("fixture_key"))
-    identity = observations.groupBy("competition_key", "season_key", "fixture_key", "home_club_key", "away_club_key").agg(
-        F.max("revision").alias("_latest")
-    )
+    identity = observations.select(
+        "competition_key", "season_key", "fixture_key", "home_club_key", "away_club_key"
+    ).distinct()
     return {
         "matches": identity.select(
             match_id.alias("id"),
@@ -177,7 +178,9 @@ def import_dataset(
         bindings = c.bind_evidence(
             evidence_bindings(evidence["evidence_refs"]), stored.get("match_revision_bindings")
         )
-    classified = classify_all(incoming, stored)
+    # Kept, so that what is counted, what is checked and what is written are the same rows.
+    ensure_checkpoint_dir(store.spark)
+    classified = {name: df.checkpoint() for name, df in classify_all(incoming, stored).items()}
     summary = c.summarise(classified)
     sample = c.conflicts(classified).limit(5).collect()
     if not sample and bindings is not None:
