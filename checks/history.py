@@ -456,9 +456,7 @@ def resolve_aliases(spark, sf):
         F.concat(F.lit("OLD  "), F.col("o_custkey").cast("string")).alias("name"),
         F.col("o_orderdate").cast("timestamp").alias("as_of"),
     )
-    names = rs.candidate_names(candidates, aliases)
-    asked = rs._questions(requests)
-    hits = rs._class_hits(asked, rs.name_classes(names))
+    hits = rs.exact_matches(requests, candidates, aliases)
     found = hits.groupBy("request_id").agg(F.min(F.get("entity_ids", F.lit(0))).alias("entity_id"))
     return requests.select("request_id").join(found, "request_id", "left")
 
