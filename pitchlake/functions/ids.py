@@ -13,6 +13,9 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "canonical.pitchlake.invalid")
 # Whitespace as stripped by the identifier contract: Unicode White_Space plus the four ASCII separators.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
+# The five groups of a UUID in the first 32 digits of a SHA-1, without the version digit.
+_LAYOUT = r"^(.{8})(.{4}).(.{3})(.{4})(.{12}).*$"
+
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` only drops spaces)."""
@@ -22,20 +25,9 @@ def strip(value: Column) -> Column:
 def uuid5(name: Column, namespace: uuid.UUID = NAMESPACE) -> Column:
     """RFC 4122 version-5 UUID of ``name`` as a 36-character lower-case string."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
-    # The variant nibble keeps its two low bits and gets the high bits 10.
+    # The variant nibble keeps its two low bits and gets the high bits 10; the version nibble becomes 5.
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(
-        F.substring(digest, 1, 8),
-        F.lit("-"),
-        F.substring(digest, 9, 4),
-        F.lit("-5"),
-        F.substring(digest, 14, 3),
-        F.lit("-"),
-        variant,
-        F.substring(digest, 18, 3),
-        F.lit("-"),
-        F.substring(digest, 21, 12),
-    )
+    return F.regexp_replace(F.overlay(digest, variant, 17, 1), _LAYOUT, "$1-$2-5$3-$4-$5")
 
 
 def _part(value: Column, what: str) -> Column:
