@@ -40,8 +40,8 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
 def _ranked(starts: DataFrame, by: list[str], label: str) -> DataFrame:
     """Starts that share ``by`` with another: with ``rank`` in its order and ``first``, the smallest position of the class."""
     classes = starts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("line")).alias("first")).where("n > 1")
-    ranks = prefix_sums(classes, by, "n", before="rank", position="_p").drop("_p", "n")
-    return stored(starts.join(ranks, by).select("doc", "q", "line", "rank", "first"), label)
+    ranks = prefix_sums(classes, by, "n", before="place", position="_p")
+    return stored(starts.join(ranks, by).select("doc", "q", "line", F.col("place").alias("rank"), "first"), label)
 
 
 def later_copies(docs: DataFrame, *, min_words: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
