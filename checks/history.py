@@ -206,7 +206,9 @@ def payload_hashes(spark, sf):
 
 
 def map_payload_hashes(spark, sf):
-    fields = F.create_map(F.lit("role"), F.col("role"), F.lit("conversation"), F.col("conv_id").cast("string"))
+    fields = F.create_map(
+        F.lit("role"), F.col("role"), F.lit("conversation"), F.col("conv_id").cast("string"), F.lit("text"), F.col("text")
+    )
     return ad.table(spark, sf, "conversations").select("conv_id", "turn", hashing.map_sha256(fields).alias("content_sha256"))
 
 
@@ -336,7 +338,10 @@ def evidence_bindings(spark, sf):
         F.when(F.col("o_totalprice") < 400000, F.lit("F")).alias("source_id"),
         F.when(F.col("o_totalprice") < 400000, F.col("o_orderpriority")).alias("raw_record_id"),
     )
-    return c.bind_evidence(incoming, stored).select("revision_id", "binding_action")
+    # Some come twice, some with another source as well.
+    again = incoming.filter("cast(revision_id as bigint) % 7 = 0")
+    other = incoming.filter("cast(revision_id as bigint) % 11 = 0").select("revision_id", F.lit("Z").alias("source_id"), F.lit("z").alias("raw_record_id"))
+    return c.bind_evidence(incoming.unionByName(again).unionByName(other), stored).select("revision_id", "binding_action")
 
 
 def provenance(spark, sf):
@@ -457,7 +462,7 @@ def resolve_aliases(spark, sf):
         F.col("o_orderdate").cast("timestamp").alias("as_of"),
     )
     hits = rs.exact_matches(requests, candidates, aliases)
-    found = hits.groupBy("request_id").agg(F.min(F.get("entity_ids", F.lit(0))).alias("entity_id"))
+    found = hits.groupBy("request_id").agg(F.min("entity_id").alias("entity_id"))
     return requests.select("request_id").join(found, "request_id", "left")
 
 
@@ -477,19 +482,27 @@ def provider_ids(spark, sf):
             "valid_until": F.lit(None).cast("timestamp_ntz"),
         }
     )
+    # In force for a while within the first, which then holds again.
+    inner = first.withColumns(
+        {
+            "canonical_entity_id": F.concat(F.lit("inner "), "canonical_entity_id"),
+            "valid_from": F.col("valid_from") + F.make_dt_interval(F.lit(100)),
+            "valid_until": F.col("valid_from") + F.make_dt_interval(F.lit(200)),
+        }
+    )
     records = ad.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("record_id"), F.lit("s").alias("source_id"), F.lit("club").alias("entity_type"),
         F.col("o_custkey").alias("external_id"), F.col("o_orderdate").alias("as_of"),
     )
-    return rs.map_provider_ids(records, first.unionByName(later)).select("record_id", "canonical_entity_id")
+    return rs.map_provider_ids(records, first.unionByName(later).unionByName(inner)).select("record_id", "canonical_entity_id")
 
 
 # --- Identity and claims -----------------------------------------------------------------------------
 
 
 def current_identity(spark, sf):
-    """Orders as entities: most merge into the order at half their number, some split off again later."""
-    orders = ad.table(spark, sf, "orders").filter("o_orderkey > 0")
+    """Orders as entities 1, 2 ...: all merge into the one at half their number, some split off again later."""
+    orders = ad.table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey") + 1)
     merges = orders.select(
         F.col("o_orderkey").alias("event_id"), F.lit("merge").alias("event_type"),
         F.col("o_orderkey").alias("subject_entity_id"), F.floor(F.col("o_orderkey") / 2).alias("target_entity_id"),
@@ -576,10 +589,10 @@ res as (select r.request_id, r.entity_type, r.nm as normalized_name, a.n, a.top,
     case when a.n = 1 then 'exact' when a.n > 1 and r.cc is null then 'exact'
       when a.n > 1 and a.top - a.second >= 0.08 then 'attribute' when a.n > 1 then 'fuzzy' else 'none' end as method,
     case when a.n = 1 or (r.cc is not null and a.top - a.second >= 0.08) then a.first_id end as resolved_entity_id,
-    case when a.n is null then 'no candidates exist for the requested entity type'
-      when a.n > 1 and r.cc is null then 'multiple canonical entities share the same exact name'
+    case when a.n is null then 'nothing is known of that entity type'
+      when a.n > 1 and r.cc is null then 'several entities bear this very name'
       when a.n > 1 and a.top - a.second < 0.08
-        then 'candidate evidence is insufficient for safe automatic resolution' end as explanation
+        then 'the candidates are too close or too weak to decide without review' end as explanation
   from req r left join agg a on a.request_id = r.request_id)"""
 
 _INGEST = f"""with src as ({_RUN_SOURCES}), rn as ({_RUNS}), rec as ({_RUN_RECORDS}),
@@ -605,7 +618,7 @@ clubc as (select *, case when c_acctbal > 0 then 'stored' end as st, case when c
 _REVC = f"""
 revc as (select fixture_key, revision, home_score, observed_at <= timestamp '{CUTOFF}' as st from revisions)"""
 
-_CHAIN = """with recursive ev as (select o_orderkey as s, cast(floor(o_orderkey / 2) as bigint) as t from orders where o_orderkey > 0),
+_CHAIN = """with recursive ev as (select o_orderkey + 1 as s, cast(floor((o_orderkey + 1) / 2) as bigint) as t from orders),
 live as (select s, t from ev where t % 3 <> 0),
 walk(s, t, depth) as (select s, t, 1 from live union all select w.s, l.t, depth + 1 from walk w join live l on l.s = w.t)"""
 
@@ -668,7 +681,7 @@ from s where enabled""",
   {_uuid5("'season:' || lower(c_mktsegment || ':' || c_nationkey)")} as season_id from customer""",
     "payload_hashes": "select event_id, sha256(replace(props, ' ', '')) as content_sha256 from events",
     "map_payload_hashes": """
-select conv_id, turn, sha256('{"conversation":"' || conv_id || '","role":"' || role || '"}') as content_sha256 from conversations""",
+select conv_id, turn, sha256('{"conversation":"' || conv_id || '","role":"' || role || '","text":' || cast(to_json(text) as varchar) || '}') as content_sha256 from conversations""",
     "normalized_names": """
 with f as (select doc_id, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) as name from documents)
 select doc_id, cast(length(name) as int) as name_length, md5(name) as name_md5 from f""",
@@ -698,11 +711,13 @@ a as (select distinct l_orderkey as fixture_key, l_linenumber as revision from l
 select fixture_key, revision, 'missing' as fault from (select * from e except select * from a) x
 union all select fixture_key, revision, 'unknown' from (select * from a except select * from e) y""",
     "evidence_bindings": """
-with i as (select cast(o_orderkey as varchar) as revision_id, case when o_orderstatus <> 'P' then o_orderstatus end as s,
-    case when o_totalprice > 50000 then o_orderpriority end as r,
+with o as (select *, case when o_orderstatus <> 'P' then o_orderstatus end as s0, case when o_totalprice > 50000 then o_orderpriority end as r0,
+    o_orderkey % 11 = 0 as z from orders),
+i as (select cast(o_orderkey as varchar) as revision_id, z and (s0 is not null or r0 is not null) as torn,
+    case when z then coalesce(s0, 'Z') else s0 end as s, case when z then coalesce(r0, 'z') else r0 end as r,
     case when o_totalprice > 200000 and o_totalprice < 400000 then 'F' end as os,
-    case when o_totalprice > 200000 and o_totalprice < 400000 then o_orderpriority end as orr from orders)
-select revision_id, case when s is null and r is null then 'none' when s is null or r is null then 'conflict'
+    case when o_totalprice > 200000 and o_totalprice < 400000 then o_orderpriority end as orr from o)
+select revision_id, case when torn then 'conflict' when s is null and r is null then 'none' when s is null or r is null then 'conflict'
   when os is null and orr is null then 'fill' when s is not distinct from os and r is not distinct from orr then 'same'
   else 'conflict' end as binding_action from i""",
     "provenance": f"""{_REV}
@@ -737,6 +752,7 @@ select o_orderkey as request_id, c_custkey as entity_id from orders left join a
     "provider_ids": """
 with a as (select c_custkey, c_name, c_acctbal, timestamp '1996-01-01 00:00:00' + c_nationkey * 30 * interval '1' day as f from customer)
 select o_orderkey as record_id, case when o_orderdate >= f + interval '700' day then 'new ' || c_name
+  when o_orderdate >= f + interval '100' day and o_orderdate < f + interval '200' day then 'inner ' || c_name
   when o_orderdate >= f and (c_acctbal <= 0 or o_orderdate < f + interval '400' day) then c_name end as canonical_entity_id
 from orders left join a on c_custkey = o_custkey""",
     "current_identity": f"""{_CHAIN}

@@ -144,12 +144,19 @@ def conflicts(classified: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def bind_evidence(incoming: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Late provenance: what an incoming binding does to the stored one.
+    """Late provenance: what the incoming bindings of a revision do to the stored one, one row a revision.
 
-    Rows: revision_id, source_id, raw_record_id.  ``binding_action`` is ``fill`` (stored side unbound),
-    ``same``, ``conflict`` (different, or half-set), or ``none`` (nothing incoming).
+    Rows: revision_id, source_id, raw_record_id.  ``binding_action`` is ``fill`` (stored side unbound), ``same``,
+    ``conflict`` (different, half-set, or two incoming ones that disagree), or ``none`` (nothing incoming).  Bindings
+    without source and record say nothing and yield to any other of their revision.
     """
-    rows = incoming.select("revision_id", "source_id", "raw_record_id")
+    pair = F.to_json(F.struct("source_id", "raw_record_id"), {"ignoreNullFields": "false"})
+    said = F.when(F.col("source_id").isNotNull() | F.col("raw_record_id").isNotNull(), pair)
+    kinds = [f"{c} {incoming.schema[c].dataType.simpleString()}" for c in ("source_id", "raw_record_id")]
+    collapsed = incoming.groupBy("revision_id").agg(F.min(said).alias("_low"), F.max(said).alias("_high"))
+    rows = collapsed.select(
+        "revision_id", F.from_json("_low", ", ".join(kinds)).alias("_one"), (F.col("_low") != F.col("_high")).alias("_torn")
+    ).select("revision_id", "_one.source_id", "_one.raw_record_id", "_torn")
     if stored is None:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("_source", "_record")})
     else:
@@ -159,13 +166,14 @@ def bind_evidence(incoming: DataFrame, stored: DataFrame | None) -> DataFrame:
         rows = rows.join(kept, "revision_id", "left")
     source, record = F.col("source_id"), F.col("raw_record_id")
     action = (
-        F.when(source.isNull() & record.isNull(), "none")
+        F.when(F.col("_torn"), "conflict")
+        .when(source.isNull() & record.isNull(), "none")
         .when(source.isNull() | record.isNull(), "conflict")
         .when(F.col("_source").isNull() & F.col("_record").isNull(), "fill")
         .when(source.eqNullSafe(F.col("_source")) & record.eqNullSafe(F.col("_record")), "same")
         .otherwise("conflict")
     )
-    return rows.withColumn("binding_action", action).drop("_source", "_record")
+    return rows.withColumn("binding_action", action).drop("_source", "_record", "_torn")
 
 
 def match_heads(matches: DataFrame, revisions: DataFrame) -> DataFrame:

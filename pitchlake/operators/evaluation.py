@@ -157,7 +157,7 @@ def paired_bootstrap(
     if samples < 100:
         raise ValueError("bootstrap needs at least 100 samples")
     if seed < 0:
-        raise ValueError("seed must be nonnegative")
+        raise ValueError(f"seed is {seed}, below 0")
     by = list(by)
     delta = F.col(model) - F.col(benchmark)
     group_key = F.to_json(F.struct(*by)) if by else F.lit("{}")

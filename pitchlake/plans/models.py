@@ -55,6 +55,14 @@ class BaselineModel(Protocol):
     def forecast(self, matches: DataFrame, targets: DataFrame) -> DataFrame: ...
 
 
+def require_at_least(settings: object, limits: dict[str, float]) -> None:
+    """Fail on the first setting below its limit, naming both."""
+    for name, limit in limits.items():
+        value = getattr(settings, name)
+        if value < limit:
+            raise ValueError(f"{name} is {value}, below {limit}")
+
+
 @dataclass(frozen=True)
 class PoissonModel:
     """Independent Poisson goals with venue strengths shrunk to the league mean."""
@@ -67,9 +75,9 @@ class PoissonModel:
 
     def __post_init__(self) -> None:
         if self.smoothing_matches <= 0:
-            raise ValueError("smoothing_matches must be positive")
+            raise ValueError(f"smoothing_matches is {self.smoothing_matches}, not above 0")
         if self.max_goals < 3:
-            raise ValueError("max_goals must be at least 3")
+            raise ValueError(f"max_goals is {self.max_goals}, below 3")
 
     def config(self) -> dict:
         return asdict(self)

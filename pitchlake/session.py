@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 # Runtime settings only, so they can be applied to a session somebody else built.
@@ -20,12 +24,31 @@ RUNTIME_SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
+    """Apply the runtime settings to an existing session, give its executors this package, and return it."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to all Python workers once per application; functions travel to them by name only."""
+    context = spark.sparkContext
+    if getattr(context, "_pitchlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # Spark copies the archive into its own files at once; the folder is the driver's, not the executors'.
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder, "pitchlake-package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+            for source in sorted(root.rglob("*.py")):
+                target.write(source, source.relative_to(root.parent))
+        kept = Path(SparkFiles.getRootDirectory(), archive.name)
+        shutil.copy(archive, kept)
+    context.addPyFile(str(kept))
+    context._pitchlake_shipped = True
+
+
 def local_session(cores: int | str = "*", *, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

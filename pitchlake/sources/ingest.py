@@ -92,7 +92,10 @@ def ingest_run(
     without approval are ``blocked``; a record that breaks its source's contract fails the whole run with
     the first breach in emission order; other failures default to kind ``unknown``, not retryable.
     """
+    q.enforce(runs.filter("run_id is null or source_key is null").select("run_id", "source_key"), "run without id or source")
     q.enforce(unknown_sources(runs, sources), "unknown source")
+    strays = records.join(runs.select("run_id"), "run_id", "left_anti").select("run_id", "ordinal")
+    q.enforce(strays, "records of no run")
     for column, kind in (("failure_kind", "string"), ("failure_message", "string"), ("retryable", "boolean")):
         if column not in runs.columns:
             runs = runs.withColumn(column, F.lit(None).cast(kind))
