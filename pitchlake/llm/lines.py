@@ -6,9 +6,10 @@ counted, pairs are put in order, and a pair's new rank is the number of starts w
 place in the suffix array as far as that prefix tells.  Starts with equal rank are an interval of common prefix of at least
 that many lines; its smallest position is the first copy.  Starts alone in their interval are settled and leave.
 
-A run counts from ``min_words`` words.  From each start the shortest such run has at most that many lines, so doubling ends at
-that depth; two overlapping ranks of one level give its class, and where the class began earlier the run is a later copy.
-A maximal repeated run is the union of these, so every line of it goes.  DataFrame functions only.
+A run counts from ``min_words`` words.  The shortest such run from each line on, and the shortest up to each line, have at most that
+many lines, so doubling ends at that depth; two overlapping ranks of one level give a run's class, and where the class
+began earlier the run is a later copy.  A maximal repeated run is the union of the shortest ones from and up to its lines, so every line of
+it goes.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -39,36 +40,37 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def _ranked(starts: DataFrame, by: list[str], label: str) -> DataFrame:
     """Starts that share ``by`` with another: with ``rank`` in its order and ``first``, the smallest position of the class."""
-    classes = starts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("line")).alias("first")).where("n > 1")
+    classes = starts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc") + F.col("q")).alias("first")).where("n > 1")
     ranks = prefix_sums(classes, by, "n", before="place", position="_p")
-    return stored(starts.join(ranks, by).select("doc", "q", "line", F.col("place").alias("rank"), "first"), label)
+    return stored(starts.join(ranks, by).select("doc", "q", F.col("place").alias("rank"), "first"), label)
 
 
 def later_copies(docs: DataFrame, *, min_words: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``hash`` of a document's text, and ``line``, of every line to delete."""
     lines = _lines(docs, id, text)
     nearest = Window.partitionBy("doc").orderBy("q")
-    reach = F.lit(None).cast("int")
+    ahead, behind = F.lit(None).cast("int"), F.lit(None).cast("int")
     for k in reversed(range(min_words)):  # every line has a word, so that many lines suffice
-        enough = (F.sum("words").over(nearest.rowsBetween(0, k)) >= min_words) & F.lead("q", k).over(nearest).isNotNull()
-        reach = F.when(enough, F.lit(k + 1)).otherwise(reach)
-    runs = lines.select("doc", "q", "line", reach.alias("length")).where("length is not null")
-    runs = stored(runs, "runs")
+        ahead = F.when(F.sum("words").over(nearest.rowsBetween(0, k)) >= min_words, F.lit(k + 1)).otherwise(ahead)
+        behind = F.when(F.sum("words").over(nearest.rowsBetween(-k, 0)) >= min_words, F.lit(k + 1)).otherwise(behind)
+    reach = lines.select("doc", "q", ahead.alias("ahead"), behind.alias("behind"))
+    ends = F.array(F.struct("q", F.col("ahead").alias("length")), F.struct((F.col("q") - F.col("behind") + 1).alias("q"), F.col("behind").alias("length")))
+    runs = stored(reach.select("doc", F.inline(ends)).where("length is not null").distinct(), "runs")
     deepest = runs.agg(F.max("length")).first()[0] or 0
-    level, width, gone = _ranked(lines.select("doc", "q", "line", "key1", "key2"), ["key1", "key2"], "ranks"), 1, []
+    level, width, gone = _ranked(lines.select("doc", "q", "key1", "key2"), ["key1", "key2"], "ranks"), 1, []
     while width <= deepest:
         here = runs.where(F.col("length").between(width, 2 * width - 1))
         last = level.select("doc", F.col("q").alias("q_last"), F.col("rank").alias("rank_last"))
         both = here.join(level.select("doc", "q", "rank"), ["doc", "q"]).withColumn("q_last", F.col("q") + F.col("length") - width)
         both = both.join(last, ["doc", "q_last"])
-        firsts = both.groupBy("length", "rank", "rank_last").agg(F.min(F.col("doc") + F.col("line")).alias("first"))
+        firsts = stored(both.groupBy("length", "rank", "rank_last").agg(F.min(F.col("doc") + F.col("q")).alias("first")), "firsts")
         gone.append(
-            both.join(firsts, ["length", "rank", "rank_last"]).where(F.col("doc") + F.col("line") > F.col("first")).select("doc", "q", "length")
+            both.join(firsts, ["length", "rank", "rank_last"]).where(F.col("doc") + F.col("q") > F.col("first")).select("doc", "q", "length")
         )
         if 2 * width > deepest:
             break
         next_ = level.select("doc", (F.col("q") - width).alias("q"), F.col("rank").alias("rank_next"))
-        level = _ranked(level.select("doc", "q", "line", "rank").join(next_, ["doc", "q"]), ["rank", "rank_next"], "ranks")
+        level = _ranked(level.select("doc", "q", "rank").join(next_, ["doc", "q"]), ["rank", "rank_next"], "ranks")
         width *= 2
     if not gone:
         return lines.select("id", "hash", "line").limit(0)

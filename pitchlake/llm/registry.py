@@ -107,10 +107,13 @@ with own as (select doc_id, text, row_number() over (order by doc_id) as d from
 lines as (select doc_id, d, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from own),
 worded as (select *, row_number() over (partition by d order by n) as q, len(regexp_extract_all(line, '\S+')) as words from lines
   where regexp_matches(line, '\S')),
-reach as (select *, sum(words) over w as total, list(line) over x as ahead, list(words) over x as counts from worded
-  window w as (partition by d order by q rows between current row and unbounded following), x as (partition by d order by q rows between current row and 9 following)),
-starts as (select d, q, ahead, list_position(list_transform(range(1, len(counts) + 1), lambda i: list_sum(counts[1:i]) >= 10), true) as length from reach where total >= 10),
-runs as (select d, q, length, row_number() over (partition by length, array_to_string(ahead[1:length], chr(10)) order by d, q) as copy from starts),
+reach as (select *, list(line) over x as ahead, list(words) over x as counts, list(line) over y as behind, list_reverse(list(words) over y) as back from worded
+  window x as (partition by d order by q rows between current row and 9 following), y as (partition by d order by q rows between 9 preceding and current row)),
+sized as (select *, list_position(list_transform(range(1, len(counts) + 1), lambda i: list_sum(counts[1:i]) >= 10), true) as fore,
+  list_position(list_transform(range(1, len(back) + 1), lambda i: list_sum(back[1:i]) >= 10), true) as aft from reach),
+starts as (select d, q, fore as length, array_to_string(ahead[1:fore], chr(10)) as content from sized where fore > 0
+  union select d, q - aft + 1, aft, array_to_string(behind[len(behind) - aft + 1:len(behind)], chr(10)) from sized where aft > 0),
+runs as (select d, q, length, row_number() over (partition by length, content order by d, q) as copy from starts),
 gone as (select distinct d, unnest(range(q, q + length)) as q from runs where copy > 1),
 gone_lines as (select d, n from gone join worded using (d, q)),
 kept as (select l.d, string_agg(l.line, chr(10) order by l.n) as text from lines l left join gone_lines g on l.d = g.d and l.n = g.n where g.d is null group by l.d),
