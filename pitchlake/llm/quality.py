@@ -10,6 +10,7 @@ feature: the difference of the two logits that the feature's vector makes.  Each
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,17 +80,22 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
         share = float(labels.mean()) if len(labels) else 0.5
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     words, picks, owner = words_of(pa.array(texts, pa.string()))
-    hashed = [np.array(features(w)) for w in words]
+    flat, starts = array("i"), array("q", [0])  # all words' features in one piece: small objects would cost the driver many times more
+    for word in words:
+        flat.extend(features(word))
+        starts.append(len(flat))
+    hashed, starts = np.frombuffer(flat, np.int32), np.frombuffer(starts, np.int64)
     rows, weights = [], []
     for own in np.split(picks[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]):
         distinct, times = np.unique(own, return_counts=True)
-        at = np.concatenate([hashed[w] for w in distinct]) if len(own) else np.zeros(0, np.int64)
-        by = np.concatenate([np.full(len(hashed[w]), n / len(own) / len(hashed[w])) for w, n in zip(distinct, times, strict=True)] or [np.zeros(0)])
-        buckets, inverse = np.unique(at, return_inverse=True)
+        size = starts[distinct + 1] - starts[distinct]
+        at = np.repeat(starts[distinct] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        buckets, inverse = np.unique(hashed[at], return_inverse=True)
         rows.append(buckets)
-        weights.append(np.bincount(inverse, by, len(buckets)))
+        weights.append(np.bincount(inverse, np.repeat(times / max(len(own), 1) / np.maximum(size, 1), size), len(buckets)).astype(np.float32))
+    del words, picks, owner, hashed, flat
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION))
+    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (DIMENSION, 2)), np.zeros(2)
     steps, step = epochs * -(-len(texts) // batch), 0
     for _ in range(epochs):
@@ -110,7 +116,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
     return QualityModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(rows: DataFrame, *, text: str = "text", label: str = "quality", order: str = "doc_id", sample: int = 4000) -> QualityModel:
+def fit(rows: DataFrame, *, text: str = "text", label: str = "quality", order: str = "doc_id", sample: int = 2000) -> QualityModel:
     """Train on at most ``sample`` labelled rows, those with the smallest hash of their id; null labels and texts are passed over."""
     own = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(order).cast("string"), F.lit(5)).alias("h")
