@@ -3,6 +3,7 @@
 The library splits text before it merges, and no split ever depends on what lies beyond a boundary between a word
 and a single space.  Cutting there and encoding the distinct cuts gives the same ids as encoding the text.  The two cuts
 below say when that holds; any other text goes to the library whole.  Most texts are even enough for ``common.cut``.
+A cut of Latin letters alone is one word to every splitter here, so the library's merges take it directly, without its splitter.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pitchlake.llm.common import WordTable, encode_texts
 
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _SPACED = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+# Composed letters; lower-casing leaves those of the second line as they are.
+_CAPITALS = "A-ZÀ-ÖØ-Þ"
+_SMALL = "a-zß-öø-ÿ"
 _MARKED = re.compile(r"[^a-zA-Z0-9À-ÖØ-öø-ÿ \n][.,]")
 
 
@@ -44,7 +48,7 @@ class TokenEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
@@ -53,15 +57,23 @@ class TokenEncoder:
             layout = json.load(file)
         splits = json.dumps(layout["pre_tokenizer"])
         if layout["normalizer"] is None and '"use_regex": true' in splits and '"add_prefix_space": false' in splits:
-            self.cuts, self.space, self.line = spaced_cuts, " ", "\n"
+            self.cuts, self.space, self.line, plain = spaced_cuts, " ", "\n", f" ?[{_CAPITALS}{_SMALL}]+"
         elif "Lowercase" in json.dumps(layout["normalizer"]) and '"behavior": "Removed"' in splits:
-            self.cuts, self.space, self.line = bare_cuts, "", ""
+            self.cuts, self.space, self.line, plain = bare_cuts, "", "", f"[{_SMALL}]+"
         else:
             raise ValueError(f"{path}: no cut is known to be safe for this splitter")
+        # Added tokens are found before a text is split, so none may lie within letters.
+        direct = "ByteLevel" in splits and not any(token["content"].strip().isalpha() for token in layout["added_tokens"])
+        self.plain = re.compile(plain if direct else r"(?!)")
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {n: spell(chr(n))[0][0] for n in range(256) if re.fullmatch(f"[ {_CAPITALS}{_SMALL}]", chr(n))}
         self.words = WordTable(self._whole)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        plain, merge, spelling = self.plain.fullmatch, self.library.model.tokenize, self.spelling
+        found = [[t.id for t in merge(text.translate(spelling))] if plain(text) else None for text in texts]
+        others = iter(self.library.encode_batch_fast([x for x, ids in zip(texts, found, strict=True) if ids is None], add_special_tokens=False))
+        return [next(others).ids if ids is None else ids for ids in found]
 
     def _other(self, text: str) -> np.ndarray:
         cuts = self.cuts(text)

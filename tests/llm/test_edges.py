@@ -3,11 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
 from pitchlake.llm import common, language, lines, minhash, neighbours, packing, pieces, quality, search, sharding, varbyte
+from pitchlake.llm.tokens import TokenEncoder
 
 CLASHING = "doc_id long, text string, id string, shard string, slot int, length string, offset long, rank int, score string, n_removed long, line int, hash long"
 LONG = "\n".join(f"line {k} has a few words of its own and ends" for k in range(4000))
@@ -176,3 +178,13 @@ def test_neighbours(spark):
 
 def test_hash_of_ids_is_the_crc(spark):
     assert spark.range(50).select("id", common.in_buckets("id").alias("r")).where("id is not null").collect()[7]["r"] == zlib.crc32(b"7") % 5
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cuts_of_letters_get_the_ids_of_the_library(name):
+    own = TokenEncoder(P.path(name))
+    texts = ["É Éa Straße ÀÉ éa", "x×y÷z ªº", "don't DON'T", "é É", "İstanbul ΣΑΣ ẞ", "a" * 30000, " lead", "end ", "", None, "ÿ Ÿ þ Þ ß", "q<|endoftext|>q"]
+    ids, counts = own.encode(pa.array(texts, pa.string()), 7)
+    found = np.split(ids, np.cumsum(counts)[:-1])
+    for text, mine in zip(texts, found, strict=True):
+        assert mine.tolist() == [*own.library.encode(text or "", add_special_tokens=False).ids, 7], text
