@@ -1,15 +1,15 @@
 """Elo ratings over any history size, and forecasts from the rating known at each cutoff.
 
-The recurrence is sequential within a competition, so a competition that holds a third of all matches must
-not become one task.  The ordered history is cut into range-partitioned segments of bounded size and folded
-parallel in time: every segment starts from the ratings its predecessor handed over in the previous round,
-and rounds repeat until no handed-over rating moves.  After round *k* the first *k* segments are final, so
-the result is that of the sequential fold in any case; because an update shrinks the difference between two
-rating states, two or three rounds usually suffice.  A history of one segment is folded once.
+The recurrence is sequential within a competition and independent between competitions.  The ordered history is cut into
+ranges of bounded size; the part of a competition in one range is a segment.  Round *k* folds the *k*-th segment of every
+competition that has one, starting from the ratings the segment before ended with.  Every match is folded once, no task holds more
+than a segment, and the ratings are those of the sequential fold, bit for bit, wherever the cuts fall.  A competition that
+holds a third of all matches takes as many rounds as it has segments; the others are done after their own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from math import ceil
 
@@ -24,18 +24,15 @@ from pitchlake.plans import models as m
 from pitchlake.session import ensure_checkpoint_dir
 
 SEGMENT_ROWS = 1_000_000
-# Largest move, in rating points, of a handed-over rating that counts as settled.  Updates never widen the
-# largest difference between two states, so ratings are off by at most this times the number of segments.
-SETTLED = 1e-9
 
 _C, _H, _A = m.COMPETITION, "home_club_id", "away_club_id"
 
 
 def ordered_segments(matches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, int]:
-    """Results in rating order with ``_seq`` and ``_segment``, and the number of segments.
+    """Results with ``_seq`` (rating order) and ``_round`` (segment of its competition), and the number of rounds.
 
-    Order: competition, result observed, kickoff, id as text.  With several segments the rows are
-    checkpointed, so that a recomputed task cannot cut the range differently.
+    Order: competition, result observed, kickoff, id as text.  With several ranges the rows are checkpointed, so that a
+    recomputed task cannot cut them differently, and stored by round, so that a round reads its own rows only.
     """
     rows = matches.select(
         _C,
@@ -46,52 +43,49 @@ def ordered_segments(matches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tu
         "kickoff_at",
         F.col("match_id").cast("string").alias("_id"),
     )
-    count = max(1, ceil(rows.count() / segment_rows))
+    ranges = max(1, ceil(rows.count() / segment_rows))
     order = [_C, "result_observed_at", "kickoff_at", "_id"]
     rows = (
-        rows.repartitionByRange(count, *order)
+        rows.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
         .withColumn("_seq", F.monotonically_increasing_id())
-        .withColumn("_segment", F.shiftright("_seq", 33))
         .drop("kickoff_at", "_id")
     )
-    if count > 1:
-        ensure_checkpoint_dir(matches.sparkSession)
-        rows = rows.checkpoint()
-    return rows, count
-
-
-def _fold(rows: pd.DataFrame, start: pd.DataFrame, configs: Sequence[dict]):
-    """Play one segment: ratings of both clubs after each match, and the last competition's final state."""
-    rows = rows.sort_values("_seq", kind="stable")
-    competitions, homes, aways = rows[_C].tolist(), rows[_H].tolist(), rows[_A].tolist()
-    actual = rows["_actual"].tolist()
-    # A hand-over counts only if its competition goes on here.
-    start = start[start[_C] == competitions[0]]
-    initial_state = dict(zip(start["club_id"].tolist(), start["ratings"].tolist()))
-    after_home = np.empty((len(rows), len(configs)))
-    after_away = np.empty((len(rows), len(configs)))
-    final: dict = {}
+    if ranges == 1:
+        return rows.withColumn("_round", F.lit(0)), 1
+    ensure_checkpoint_dir(matches.sparkSession)
+    rows = rows.checkpoint().withColumn("_range", F.shiftright("_seq", 33).cast("int"))
+    spans = rows.groupBy(F.col(_C).alias("_of")).agg(F.min("_range").alias("_first"), F.max("_range").alias("_last"))
+    rounds = spans.agg(F.max(F.col("_last") - F.col("_first"))).first()[0] + 1
+    rows = rows.join(spans, F.col(_C).eqNullSafe(F.col("_of"))).withColumn("_round", F.col("_range") - F.col("_first"))
+    rows = rows.withColumn("_more", F.col("_range") < F.col("_last")).drop("_of", "_range", "_first", "_last")
+    path = _folder(matches, "elo-segments")
+    rows.repartition("_round", _C).write.partitionBy("_round").parquet(path)
+    return matches.sparkSession.read.schema(rows.schema).parquet(path), rounds
+
+
+def _folder(df: DataFrame, label: str) -> str:
+    """A new folder name beside the checkpoints."""
+    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
+def _fold(rows: pd.DataFrame, start: dict, configs: Sequence[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Play one segment, its rows in order: ratings of both clubs after each match, a column per model."""
+    homes, aways, actual = rows[_H].tolist(), rows[_A].tolist(), rows["_actual"].tolist()
+    after_home, after_away = np.empty((len(rows), len(configs))), np.empty((len(rows), len(configs)))
     for g, config in enumerate(configs):
         initial, k, advantage = config["initial_rating"], config["k_factor"], config["home_advantage"]
-        handed = {club: float(ratings[g]) for club, ratings in initial_state.items()}
-        ratings, current = {}, None
+        ratings = {club: float(handed[g]) for club, handed in start.items()}
         played_home, played_away = [], []
-        for i, competition in enumerate(competitions):
-            if i == 0 or competition != current:
-                # Only the competition that straddles the boundary is handed over, and it comes first.
-                ratings, current = (handed if i == 0 else {}), competition
-            home, away = homes[i], aways[i]
+        for home, away, result in zip(homes, aways, actual):
             home_rating, away_rating = ratings.get(home, initial), ratings.get(away, initial)
             expected = 1.0 / (1.0 + 10.0 ** (-((home_rating + advantage) - away_rating) / 400.0))
-            delta = k * (actual[i] - expected)
+            delta = k * (result - expected)
             ratings[home], ratings[away] = home_rating + delta, away_rating - delta
             played_home.append(ratings[home])
             played_away.append(ratings[away])
         after_home[:, g], after_away[:, g] = played_home, played_away
-        for club, rating in ratings.items():
-            final.setdefault(club, []).append(rating)
-    return rows, after_home, after_away, final
+    return after_home, after_away
 
 
 def rating_history(
@@ -102,64 +96,45 @@ def rating_history(
     Columns: competition, ``club_id``, ``result_observed_at``, ``_seq`` (rating order) and ``ratings``.
     """
     configs = [x.config() for x in models]
-    rows, count = ordered_segments(matches, segment_rows)
+    rows, rounds = ordered_segments(matches, segment_rows)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    spark = matches.sparkSession
-    state_schema = f"_segment bigint, {_C} {types[_C]}, club_id {types[_H]}, ratings array<double>"
-    start = spark.createDataFrame([], state_schema)
-
-    def hand_over(segment: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if segment.empty:
-            return pd.DataFrame(columns=["_segment", _C, "club_id", "ratings"], dtype=object)
-        segment_id = int(segment["_segment"].iloc[0])
-        played, _, _, final = _fold(segment, state, configs)
-        return pd.DataFrame(
-            {
-                "_segment": segment_id + 1,
-                _C: played[_C].iloc[-1],
-                "club_id": list(final),
-                "ratings": list(final.values()),
-            }
-        )
+    columns = [_C, "club_id", "result_observed_at", "_seq", "ratings"]
+    club = f"{_C} {types[_C]}, club_id {types[_H]}"
+    schema = f"{club}, result_observed_at {types['result_observed_at']}, _seq bigint, ratings array<double>"
 
-    def history(segment: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if segment.empty:
-            return pd.DataFrame(columns=[_C, "club_id", "result_observed_at", "_seq", "ratings"], dtype=object)
-        played, home, away, _ = _fold(segment, state, configs)
+    def played(segment: pd.DataFrame, start: dict) -> pd.DataFrame:
+        segment = segment.sort_values("_seq", kind="stable")
         sides = [
-            pd.DataFrame(
-                {
-                    _C: played[_C],
-                    "club_id": played[club],
-                    "result_observed_at": played["result_observed_at"],
-                    "_seq": played["_seq"],
-                    "ratings": list(ratings),
-                }
-            )
-            for club, ratings in ((_H, home), (_A, away))
+            segment[[_C, side, "result_observed_at", "_seq"]].set_axis(columns[:4], axis=1).assign(ratings=list(after))
+            for side, after in zip((_H, _A), _fold(segment, start, configs))
         ]
         return pd.concat(sides, ignore_index=True)
 
-    by_segment = rows.groupBy("_segment")
-    for _ in range(count - 1):
-        handed = by_segment.cogroup(start.groupBy("_segment")).applyInPandas(hand_over, state_schema)
-        handed = handed.checkpoint()
-        moved = _moved(start, handed)
-        start = handed
-        if moved.isEmpty():
-            break
-    out = f"{_C} {types[_C]}, club_id {types[_H]}, result_observed_at {types['result_observed_at']}, _seq bigint, ratings array<double>"
-    return by_segment.cogroup(start.groupBy("_segment")).applyInPandas(history, out)
-
-
-def _moved(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Handed-over ratings that are new, gone or further than ``SETTLED`` from the round before."""
-    keys = ["_segment", _C, "club_id"]
-    both = before.withColumnRenamed("ratings", "_before").join(
-        after.withColumnRenamed("ratings", "_after"), keys, "full_outer"
-    )
-    gap = F.zip_with("_before", "_after", lambda x, y: F.abs(x - y) > SETTLED)
-    return both.filter(F.coalesce(F.exists(gap, lambda far: far), F.lit(True)))
+    if rounds == 1:
+        return rows.groupBy(_C).applyInPandas(lambda segment: played(segment, {}), schema)
+
+    def resumed(segment: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        return played(segment, dict(zip(state["club_id"].tolist(), state["ratings"].tolist())))
+
+    spark, path = matches.sparkSession, _folder(matches, "elo-history")
+    state = spark.createDataFrame([], f"{club}, ratings array<double>, _seq bigint")
+    for k in range(rounds):
+        segments = rows.where(F.col("_round") == k)
+        history = segments.groupBy(_C).cogroup(state.groupBy(_C)).applyInPandas(resumed, schema)
+        history.write.parquet(f"{path}/_k={k}")
+        if k + 1 < rounds:
+            done = spark.read.schema(schema).parquet(f"{path}/_k={k}")
+            going_on = segments.where("_more").select(F.col(_C).alias("_of")).distinct()
+            # A club's rating after its latest match so far, in the competitions of the next round.
+            state = (
+                done.select(*state.columns)
+                .unionByName(state)
+                .join(going_on, F.col(_C).eqNullSafe(F.col("_of")), "left_semi")
+                .groupBy(_C, "club_id")
+                .agg(F.max_by("ratings", "_seq").alias("ratings"), F.max("_seq").alias("_seq"))
+                .checkpoint()
+            )
+    return spark.read.schema(schema).parquet(*[f"{path}/_k={k}" for k in range(rounds)])
 
 
 def with_elo_state(

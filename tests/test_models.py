@@ -76,6 +76,15 @@ def test_elo_equals_a_sequential_refit(matches, history, segment_rows):
             assert found[target["match_id"], config] == pytest.approx(p, abs=1e-9)
 
 
+def test_elo_ratings_do_not_depend_on_the_cuts(matches):
+    def ratings(segment_rows):
+        rows = elo.rating_history(matches, [m.EloModel()], segment_rows).drop("_seq").collect()
+        return sorted((r["competition_key"], r["club_id"], r["result_observed_at"], r["ratings"][0]) for r in rows)
+
+    whole = ratings(1_000_000)
+    assert ratings(60) == whole and ratings(13) == whole and len(whole) == 2 * matches.count()
+
+
 def test_mixed_grid_keeps_one_row_per_run_and_target(matches, history):
     grid = [m.PoissonModel(), m.PoissonModel(max_goals=4), m.DixonColesModel(), m.EloModel(), m.FixedModel(0.4, 0.3, 0.3)]
     rows = bt.walk_forward(matches, grid, [LEAD, 3600], min_train_matches=5)
