@@ -10,7 +10,6 @@ feature: the difference of the two logits that the feature's vector makes.  Each
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +25,31 @@ BUCKETS = 1 << 17
 DIMENSION = 16
 GRAMS = (2, 3, 4)
 AGAIN = "\x00again"
+MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
+CHUNK = 20_000  # words hashed at a time
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams, its ends marked; words of over 40 characters count by both ends."""
-    marked = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
-    grams = {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)} if word != AGAIN else ()
-    return [zlib.crc32(b"w" + word.encode()) % BUCKETS, *sorted(zlib.crc32(g.encode()) % BUCKETS for g in grams)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all words: whose each is, and its bucket.
+
+    A word has itself and each of its character n-grams, its ends marked; words of over 40 characters count by both ends.
+    """
+    marked = ["" if w == AGAIN else f"<{w}>" if len(w) <= 40 else f"<{w[:20]}{w[-20:]}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.cumsum(lengths)[owner] - np.arange(len(codes))  # characters from here to the word's end
+    owners = [np.arange(len(words))]
+    buckets = [np.fromiter((zlib.crc32(b"w" + w.encode()) % BUCKETS for w in words), np.int64, len(words))]
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        hash = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            hash = (hash ^ codes[at + k]) * MIX
+            hash ^= hash >> np.uint64(29)
+        owners.append(owner[at])
+        buckets.append((hash % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -62,9 +79,11 @@ class QualityModel:
             words, picks, text = words_of(texts)
             if len(known) > WORDS_KEPT:
                 known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = float(self.logits[features(word)].mean())
+            new = [word for word in words if word not in known]
+            for k in range(0, len(new), CHUNK):
+                part = new[k : k + CHUNK]
+                owner, bucket = features(part)
+                known.update(zip(part, (np.bincount(owner, self.logits[bucket]) / np.bincount(owner)).tolist(), strict=True))
             worth = np.fromiter(map(known.__getitem__, words), float, len(words))
             size = np.bincount(text, minlength=len(texts))
             total = np.bincount(text, worth[picks], len(texts)) / np.maximum(size, 1)
@@ -80,11 +99,12 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
         share = float(labels.mean()) if len(labels) else 0.5
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     words, picks, owner = words_of(pa.array(texts, pa.string()))
-    flat, starts = array("i"), array("q", [0])  # all words' features in one piece: small objects would cost the driver many times more
-    for word in words:
-        flat.extend(features(word))
-        starts.append(len(flat))
-    hashed, starts = np.frombuffer(flat, np.int32), np.frombuffer(starts, np.int64)
+    pieces, sizes = [], []  # all words' features end up in one piece: small objects would cost the driver many times more
+    for k in range(0, len(words), CHUNK):
+        mine, bucket = features(words[k : k + CHUNK])
+        pieces.append(bucket[np.argsort(mine, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(mine))
+    hashed, starts = np.concatenate(pieces), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     rows, weights = [], []
     for own in np.split(picks[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]):
         distinct, times = np.unique(own, return_counts=True)
@@ -93,7 +113,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
         buckets, inverse = np.unique(hashed[at], return_inverse=True)
         rows.append(buckets)
         weights.append(np.bincount(inverse, np.repeat(times / max(len(own), 1) / np.maximum(size, 1), size), len(buckets)).astype(np.float32))
-    del words, picks, owner, hashed, flat
+    del words, picks, owner, hashed, pieces
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (DIMENSION, 2)), np.zeros(2)
