@@ -1,10 +1,11 @@
 """Packing token pieces into sequences of a fixed length by the configuration linear program.
 
 A configuration is a multiset of lengths that fits a sequence.  The program asks for the fewest configurations that
-cover the length histogram.  Multiplicative weights solve it: every length has a weight that falls as it is covered; a
-knapsack over the weights, by dynamic programming on capacity, prices the best configurations, and those close to the best
-are added.  The fractional solution is rounded down against what is left of the histogram, and the few
-pieces that remain are placed best fit, longest first, also on the histogram.
+cover the length histogram.  A knapsack over the lengths' weights, by dynamic programming on capacity, prices the best
+configurations.  Multiplicative weights place them: every length has a weight that falls as it is covered, and those close to
+the best are added in steps of whole sequences, until every length is covered.  Where the lengths are few and each is frequent, the
+fractional optimum is found first, by column generation with the same knapsack, and rounded down; only its rest is placed by
+weights.  Best fit, longest first, also plans the whole histogram; the plan with fewer sequences is taken, the program's if they tie.
 
 The driver sees the histogram (at most one number per length) and returns a plan of as bounded a size: which copies of
 which configuration take which ranks of each length.  Pieces learn their rank among equals and look their place up.
@@ -28,90 +29,129 @@ from pitchlake.llm.tokens import encoder
 
 ROUNDS = 160
 NEAR_BEST = 0.02
+# Lengths up to which, and pieces of each from which, the program is solved to its optimum first.
+FEW_LENGTHS, HOT = 400, 50
 
 
-def best_values(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The largest total value of lengths that fill at most c, and a length to take for it (0: none), for every c.
+def best_values(value: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest total value of lengths that fill at most c, for every c; each may be taken any number of times."""
+    best = np.zeros(capacity + 1)
+    for n in np.flatnonzero(value > 0).tolist():
+        copies = 1
+        while copies * n <= capacity:  # 1, 2, 4, ... copies make up any number
+            np.maximum(best[copies * n :], best[: -copies * n] + copies * value[n], out=best[copies * n :])
+            copies *= 2
+    return best
 
-    ``value[l]`` is the value of length ``l``; each length may be taken any number of times.
+
+def filled(worth: np.ndarray, best: np.ndarray, lengths: np.ndarray, stock: np.ndarray, room: int) -> list[int]:
+    """Places in ``lengths`` that fill the room as ``best_values`` would, none more often than it is in stock."""
+    chosen, stock = [], stock.copy()
+    while True:
+        fitting = np.flatnonzero(stock[: np.searchsorted(lengths, room, "right")] > 0)
+        if not len(fitting):
+            return chosen
+        k = int(fitting[(worth[fitting] + best[room - lengths[fitting]]).argmax()])
+        chosen.append(k)
+        stock[k] -= 1
+        room -= int(lengths[k])
+
+
+def few_lengths(histogram: np.ndarray) -> dict[tuple[int, ...], float]:
+    """The fractional optimum: weights of configurations that hold each length as often as the histogram.
+
+    Column generation: the prices of a basis find the configuration that would save most, until none saves any.
     """
-    lengths = np.flatnonzero(value > 0)
-    worth = value[lengths]
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        fitting = np.searchsorted(lengths, c, "right")
-        best[c], take[c] = best[c - 1], 0
-        if fitting:
-            totals = worth[:fitting] + best[c - lengths[:fitting]]
-            k = int(totals.argmax())
-            if totals[k] > best[c]:
-                best[c], take[c] = totals[k], lengths[k]
-    return best, take
-
-
-def filled(take: np.ndarray, capacity: int) -> list[int]:
-    """The lengths that ``best_values`` takes for a capacity."""
-    chosen = []
-    while capacity > 0:
-        if take[capacity]:
-            chosen.append(int(take[capacity]))
-            capacity -= int(take[capacity])
-        else:
-            capacity -= 1
-    return chosen
+    capacity = len(histogram) - 1
+    lengths = np.flatnonzero(histogram)
+    most = np.minimum(capacity // lengths, histogram[lengths])
+    basis, inverse = np.diag(most).astype(float), np.diag(1.0 / most)
+    need = histogram[lengths] * (1 + 1e-7 * np.random.default_rng(0).random(len(lengths)))  # no ties, so no cycles
+    x = need / most
+    for step in range(50 * len(lengths)):  # the basis covers the histogram after every step
+        worth = np.maximum(inverse.sum(0), 0)
+        value = np.zeros(capacity + 1)
+        value[lengths] = worth
+        chosen = filled(worth, best_values(value, capacity), lengths, np.where(worth > 1e-12, most, 0), capacity)
+        if worth[chosen].sum() <= 1 + 1e-6:
+            break
+        column = np.bincount(chosen, minlength=len(lengths)).astype(float)
+        change = inverse @ column
+        able = np.flatnonzero(change > 1e-9)
+        out = able[(x[able] / change[able]).argmin()]
+        least = x[out] / change[out]
+        x -= least * change
+        x[out] = least
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        basis[:, out] = column
+        if step % 200 == 199:
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ need, 0)
+    configs = [tuple(np.repeat(lengths, column.astype(np.int64))[::-1].tolist()) for column in basis.T]
+    return dict(zip(configs, x.tolist(), strict=True))
 
 
-def fractional(histogram: np.ndarray, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Weights of configurations that cover a histogram of lengths 0..capacity, few in total."""
+def whole(histogram: np.ndarray, rounds: int = ROUNDS) -> dict[tuple[int, ...], int]:
+    """Configurations and copies that hold the histogram exactly, by multiplicative weights in steps of whole sequences."""
     capacity = len(histogram) - 1
     lengths = np.flatnonzero(histogram)
-    need = histogram[lengths].astype(float)
-    place = {int(n): k for k, n in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    chosen: dict[tuple[int, ...], float] = defaultdict(float)
-    for _ in range(rounds):
+    need = histogram[lengths].astype(np.int64)
+    left = need.copy()
+    chosen: dict[tuple[int, ...], int] = defaultdict(int)
+    while left.any():
         # The weight of a length falls with the share of it that is covered; large ones start by size.
-        weight = np.exp(-8.0 * (covered / need - (covered / need).min())) * lengths ** 1.05
+        covered = 1 - left / need
+        weight = np.where(left > 0, np.exp(-8.0 * (covered - covered[left > 0].min())) * lengths ** 1.05, 0.0)
         value = np.zeros(capacity + 1)
         value[lengths] = weight
-        best, take = best_values(value, capacity)
-        with_length = weight + best[capacity - lengths]  # the best configuration that has each length
-        for k in np.flatnonzero(with_length >= (1 - NEAR_BEST) * best[capacity]):
-            config = tuple(sorted([int(lengths[k]), *filled(take, capacity - int(lengths[k]))], reverse=True))
-            counts = Counter(place[n] for n in config)
-            step = min(need[i] / n for i, n in counts.items()) / rounds * 4
-            if any(covered[i] >= need[i] * (1 + 1e-9) for i in counts):
+        best = best_values(value, capacity)
+        with_length = np.where(left > 0, weight + best[capacity - lengths], -1.0)  # the best configuration that has each length
+        least, placed = (1 - NEAR_BEST) * best[capacity], False
+        for k in np.argsort(-with_length, kind="stable"):
+            if with_length[k] < least:
+                break
+            if not left[k]:
                 continue
-            chosen[config] += step
-            for i, n in counts.items():
-                covered[i] += step * n
-        if (covered >= need).all():
-            break
+            stock = left.copy()
+            stock[k] -= 1
+            config = [k, *filled(weight, best, lengths, stock, capacity - int(lengths[k]))]
+            if placed and weight[config].sum() < least:  # what it would take is used up
+                continue
+            own, times = np.unique(config, return_counts=True)
+            step = max(1, min(int((need[own] // times).min() * 4 / rounds), int((left[own] // times).min())))
+            chosen[tuple(sorted(lengths[config].tolist(), reverse=True))] += step
+            left[own] -= step * times
+            placed = True
     return chosen
 
 
-def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how many sequences take each; together they hold the histogram's lengths exactly."""
-    capacity = len(histogram) - 1
-    left = histogram.astype(np.int64).copy()
-    result: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        result.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    if left.any():
-        weights = fractional(left, rounds)
-        for config, x in sorted(weights.items(), key=lambda item: (sum(item[0]) < capacity, -item[1], item[0])):
+def program(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and copies that hold the histogram exactly."""
+    left, result = histogram.astype(np.int64).copy(), []
+    if 0 < np.count_nonzero(left) <= FEW_LENGTHS and left[left > 0].min() >= HOT:
+        for config, x in few_lengths(left).items():
             counts = Counter(config)
-            copies = min(int(x + 1e-6), *(int(left[n]) // k for n, k in counts.items()))
-            if copies > 0 and sum(config) >= 0.995 * capacity:
+            copies = min(int(x + 1e-4), *(int(left[n]) // k for n, k in counts.items()))
+            if copies > 0:
                 result.append((config, copies))
                 for n, k in counts.items():
                     left[n] -= copies * k
-    return result + best_fit(left)
+    return result + list(whole(left, rounds).items())
+
+
+def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how many sequences take each; together they hold the histogram's lengths exactly."""
+    capacity = len(histogram) - 1
+    left = histogram.astype(np.int64).copy()
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    return full + min(program(left, rounds), best_fit(left), key=lambda found: sum(copies for _, copies in found))
 
 
 def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Place the rest of a histogram, longest first, each where the least room stays; equal sequences are one group."""
+    """Place a histogram, longest first, each where the least room stays; equal sequences are one group."""
     capacity = len(left) - 1
     groups: list[dict[tuple[int, ...], int]] = [defaultdict(int) for _ in range(capacity + 1)]  # by room
     rooms = np.zeros(capacity + 1, bool)

@@ -95,6 +95,29 @@ def test_configurations_cover_the_histogram():
         assert (held == histogram).all()
 
 
+def test_program_finds_planted_full_sequences():
+    planted = [((900, 700, 300, 148), 3000), ((1100, 611, 337), 15000), ((871, 552, 401, 224), 9000), ((1301, 480, 267), 4000)]
+    histogram = np.zeros(2049, np.int64)
+    for config, copies in planted:
+        histogram[list(config)] += copies
+    for found in (packing.program(histogram), packing.plan(histogram)):
+        held = np.zeros(2049, np.int64)
+        for config, copies in found:
+            assert sum(config) <= 2048
+            np.add.at(held, list(config), copies)
+        assert (held == histogram).all() and sum(copies for _, copies in found) <= 31000 + 3
+
+
+def test_program_places_every_piece_of_lengths_that_occur_once():
+    histogram = np.bincount(np.random.default_rng(3).integers(1, 2048, 400), minlength=2049)
+    found = packing.program(histogram)
+    held = np.zeros(2049, np.int64)
+    for config, copies in found:
+        np.add.at(held, list(config), copies)
+    best_fit = sum(copies for _, copies in packing.best_fit(histogram))
+    assert (held == histogram).all() and sum(copies for _, copies in found) <= 1.02 * best_fit
+
+
 def test_near_copies(docs, none):
     rows = minhash.near_duplicates(docs, words=3, percent=85).collect()
     by = {r["doc_id"]: r for r in rows}
