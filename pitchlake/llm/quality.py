@@ -1,6 +1,6 @@
 """Document quality by supervised subword embeddings.
 
-A word's features are itself and its character n-grams, hashed into a table of learned vectors.  Words lie between spaces and line ends;
+A word's features are itself and its character n-grams, hashed into a table of learned vectors.  Words lie between white space;
 a comma or full stop begins one.  A word that equals one of the two before it also counts once more as the word AGAIN, whose
 vector learns what repetition says whichever word repeats.  A document is the mean of its words' vectors, and a softmax layer over it gives the label's probability.  Vectors and layer are trained together by stochastic
 gradient descent in numpy, on a bounded sample of labelled documents.  Since the layer is linear, scoring needs one number per
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,22 +28,21 @@ GRAMS = (2, 3, 4)
 AGAIN = "\x00again"
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio, odd
 CHUNK = 20_000  # words hashed at a time
+CHARACTERS = 1 << 18  # characters hashed at a time
+KEPT_CHARACTERS = 200  # longer words are scored anew in each batch
+# White space but spaces and line ends.
+OTHER_SPACE = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all words: whose each is, and its bucket.
-
-    A word has itself and each of its character n-grams, its ends marked; words of over 40 characters count by both ends.
-    """
-    marked = ["" if w == AGAIN else f"<{w}>" if len(w) <= 40 else f"<{w[:20]}{w[-20:]}>" for w in words]
+def grams(marked: list[str], starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of all texts, or those that begin at the first ``starts`` characters: whose each is, and its bucket."""
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), lengths)
     left = np.cumsum(lengths)[owner] - np.arange(len(codes))  # characters from here to the word's end
-    owners = [np.arange(len(words))]
-    buckets = [np.fromiter((zlib.crc32(b"w" + w.encode()) % BUCKETS for w in words), np.int64, len(words))]
+    owners, buckets = [], []
     for n in GRAMS:
-        at = np.flatnonzero(left >= n)
+        at = np.flatnonzero(left[:starts] >= n)
         hash = np.full(len(at), n, np.uint64)
         for k in range(n):
             hash = (hash ^ codes[at + k]) * MIX
@@ -52,9 +52,32 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def features(words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Features of all words in parts: the words from a first one to before a last, whose of them each is, and its bucket.
+
+    A word has itself and each of its character n-grams, its ends marked.  A part has at most CHUNK words and CHARACTERS
+    characters; a longer word is spread over several parts.
+    """
+    sizes = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))])
+    first = 0
+    while first < len(words):
+        last = max(first + 1, min(first + CHUNK, int(np.searchsorted(sizes, sizes[first] + CHARACTERS, "right")) - 1))
+        own = words[first:last]
+        itself = np.fromiter((zlib.crc32(b"w" + w.encode()) % BUCKETS for w in own), np.int64, len(own))
+        if sizes[last] - sizes[first] <= CHARACTERS:
+            owner, bucket = grams(["" if w == AGAIN else f"<{w}>" for w in own])
+            yield first, last, np.concatenate([np.arange(len(own)), owner]), np.concatenate([itself, bucket])
+        else:
+            yield first, last, np.zeros(1, np.int64), itself
+            marked = f"<{own[0]}>"
+            for k in range(0, len(marked), CHARACTERS):
+                yield first, last, *grams([marked[k : k + CHARACTERS + GRAMS[-1] - 1]], CHARACTERS)
+        first = last
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, and for each occurrence its word and its text."""
-    words, picks, counts = cut(filled(texts), "", "")
+    words, picks, counts = cut(pc.replace_substring_regex(filled(texts), OTHER_SPACE, " "), "", "")
     text = np.repeat(np.arange(len(counts)), counts)
     if "" in words:
         real = picks != words.index("")
@@ -80,11 +103,15 @@ class QualityModel:
             if len(known) > WORDS_KEPT:
                 known.clear()
             new = [word for word in words if word not in known]
-            for k in range(0, len(new), CHUNK):
-                part = new[k : k + CHUNK]
-                owner, bucket = features(part)
-                known.update(zip(part, (np.bincount(owner, self.logits[bucket]) / np.bincount(owner)).tolist(), strict=True))
+            sums, counts = np.zeros(len(new)), np.zeros(len(new))
+            for first, last, owner, bucket in features(new):
+                sums[first:last] += np.bincount(owner, self.logits[bucket], last - first)
+                counts[first:last] += np.bincount(owner, minlength=last - first)
+            known.update(zip(new, (sums / counts).tolist(), strict=True))
             worth = np.fromiter(map(known.__getitem__, words), float, len(words))
+            for word in new:
+                if len(word) > KEPT_CHARACTERS:
+                    del known[word]
             size = np.bincount(text, minlength=len(texts))
             total = np.bincount(text, worth[picks], len(texts)) / np.maximum(size, 1)
             return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -500, 500)))
@@ -99,12 +126,11 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
         share = float(labels.mean()) if len(labels) else 0.5
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     words, picks, owner = words_of(pa.array(texts, pa.string()))
-    pieces, sizes = [], []  # all words' features end up in one piece: small objects would cost the driver many times more
-    for k in range(0, len(words), CHUNK):
-        mine, bucket = features(words[k : k + CHUNK])
+    pieces, sizes = [], np.zeros(len(words), np.int64)  # all words' features end up in one piece: small objects would cost the driver many times more
+    for first, last, mine, bucket in features(words):
         pieces.append(bucket[np.argsort(mine, kind="stable")].astype(np.int32))
-        sizes.append(np.bincount(mine))
-    hashed, starts = np.concatenate(pieces), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        sizes[first:last] += np.bincount(mine, minlength=last - first)
+    hashed, starts = np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
     rows, weights = [], []
     for own in np.split(picks[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]):
         distinct, times = np.unique(own, return_counts=True)
@@ -113,7 +139,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
         buckets, inverse = np.unique(hashed[at], return_inverse=True)
         rows.append(buckets)
         weights.append(np.bincount(inverse, np.repeat(times / max(len(own), 1) / np.maximum(size, 1), size), len(buckets)).astype(np.float32))
-    del words, picks, owner, hashed, pieces
+    del words, picks, owner, hashed, pieces, sizes
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (DIMENSION, 2)), np.zeros(2)

@@ -187,6 +187,20 @@ def test_quality(docs, none):
     assert quality.score(docs, only).where("predicted = 0").count() == 0
 
 
+def test_quality_reads_every_character_and_every_white_space(monkeypatch):
+    ends = "a" * 20, "z" * 20
+    model = quality.train([ends[0] + x * 30 + ends[1] for x in ("good", "bad")] * 20, np.array([1, 0] * 20))
+    good, bad = model.scorer()(pa.array([ends[0] + x * 29 + ends[1] for x in ("good", "bad")]))  # words never seen
+    assert good > 0.5 > bad
+    spaces = " \t\u00a0\u3000\u2003\x85\x1f"
+    words, picks, _ = quality.words_of(pa.array([f"one{space}two" for space in spaces]))
+    assert {words[k] for k in picks} == {"one", "two"}
+    texts = pa.array(["x" + "yes" * 50, "word " + "no" * 100 + " end"])
+    whole = model.scorer()(texts)
+    monkeypatch.setattr(quality, "CHARACTERS", 7)
+    assert np.allclose(model.scorer()(texts), whole, rtol=0, atol=1e-12)
+
+
 def test_neighbours(spark):
     common.prepare(spark)
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (None, [1.0, 1.0]), (6, [1e200, 1e199]), (7, [1.0])]
