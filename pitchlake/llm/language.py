@@ -69,6 +69,17 @@ class LanguageModel:
         return list(self.contents)[best], float(min(1.0, 0.5 + 5 * gap)), bool(gap < margin and len(text.encode()) >= LEAST_BYTES)
 
 
+def beginnings(texts: list[bytes], total: int) -> list[bytes]:
+    """As much of each text's beginning, the same for all longer ones, as fits ``total`` with a byte between two."""
+    sizes, room, each = sorted(map(len, texts)), total - len(texts) + 1, 0
+    for k, size in enumerate(sizes):  # shorter texts leave their room to longer ones
+        each = max(0, room) // (len(sizes) - k)
+        if size > each:
+            break
+        each, room = size, room - size
+    return [t[:each] for t in texts]
+
+
 def fit(rows: DataFrame, *, text: str = "text", label: str = "lang", order: str = "doc_id", sample: int = 400, dictionary_bytes: int = 64 << 10) -> LanguageModel:
     """Dictionaries from labelled rows; rows without a label or text are passed over, equal texts count once each row.
 
@@ -83,14 +94,11 @@ def fit(rows: DataFrame, *, text: str = "text", label: str = "lang", order: str
     shares = [(F.col("lang") == lang) & share_of(F.col("h"), 4 * sample / n) for lang, n in counts.items()]
     thin = own.where(reduce(or_, shares))
     ranked = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-    share = dictionary_bytes // sample * 4
     texts = ranked.select("lang", "k", F.substring("text", 1, dictionary_bytes).alias("text")).orderBy("lang", "k").collect()
     contents = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         whole = [r["text"].lower().encode() for r in texts if r["lang"] == lang]
-        each = max(share, dictionary_bytes // max(1, len(whole)))
-        # What is nearest to the text is cheapest to refer to, so order matters little; the last bytes win.
-        contents[lang] = b"\n".join(t[:each] for t in whole)[-dictionary_bytes:]
+        contents[lang] = b"\n".join(beginnings(whole, dictionary_bytes))
     return LanguageModel(contents)
 
 

@@ -177,6 +177,14 @@ def test_language(docs, none, spark):
     assert language.predict(none, model).count() == 0
 
 
+def test_dictionaries_hold_every_sampled_text(spark):
+    texts = [f"number{k:03d} " + "some more words " * 60 for k in range(400)]
+    model = language.fit(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert all(f"number{k:03d}".encode() in model.contents["en"] for k in range(400)) and 64000 < len(model.contents["en"]) <= 65536
+    assert language.beginnings([b"a", b"bbbbbb", b"cccccc"], 9) == [b"a", b"bbb", b"ccc"]
+    assert language.beginnings([b"a", b"bb"], 9) == [b"a", b"bb"] and language.beginnings([b"aa"] * 3, 2) == [b"", b"", b""]
+
+
 def test_quality(docs, none):
     model = quality.train(["good words here", "bad bad bad bad"] * 20, np.array([1, 0] * 20))
     rows = quality.score(docs, model).collect()
