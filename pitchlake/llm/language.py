@@ -28,8 +28,6 @@ from pitchlake.llm.common import share_of
 UNKNOWN = "und"
 PIECE_BYTES = 4096
 LEVEL = 6
-# A text shorter than this is too short for its margin to mean anything; its label stands.
-LEAST_BYTES = 100
 
 
 @dataclass
@@ -66,7 +64,7 @@ class LanguageModel:
             return next(iter(self.contents)), 1.0, False
         second = int(np.partition(sizes, 1)[1])
         gap = 1.0 - sizes[best] / second
-        return list(self.contents)[best], float(min(1.0, 0.5 + 5 * gap)), bool(gap < margin and len(text.encode()) >= LEAST_BYTES)
+        return list(self.contents)[best], float(min(1.0, 0.5 + 5 * gap)), bool(gap < margin)
 
 
 def beginnings(texts: list[bytes], total: int) -> list[bytes]:
@@ -106,7 +104,8 @@ def predict(docs: DataFrame, model: LanguageModel, *, margin: float = 0.01, text
     """Add ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
 
     Null texts, and texts without a letter, are ``und`` with score 0, and rejected; so is everything if nothing was learned.  Ties go to
-    the language with more learned rows.  Texts under LEAST_BYTES are never rejected for their margin.  Only the text decides; repeated rows get repeated results; columns named
+    the language with more learned rows.  The margin holds at every size: where it is less
+    than a byte, a tie is rejected.  Only the text decides; repeated rows get repeated results; columns named
     like the new ones are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected")

@@ -177,6 +177,11 @@ def test_language(docs, none, spark):
     assert language.predict(none, model).count() == 0
 
 
+def test_short_texts_are_rejected_for_their_margin_too():
+    model = language.LanguageModel({"en": b"the and of with that " * 20, "de": b"und der die mit dass " * 20})
+    assert model.predict("xq 7", 0.01)[2] and not model.predict("with that and the", 0.01)[2]
+
+
 def test_dictionaries_hold_every_sampled_text(spark):
     texts = [f"number{k:03d} " + "some more words " * 60 for k in range(400)]
     model = language.fit(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
