@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pitchlake.llm.common import WordTable, encode_texts
+from pitchlake.llm.common import WordTable, encode_texts, filled
 
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _SPACED = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
@@ -44,14 +44,13 @@ def bare_cuts(text: str) -> list[str] | None:
 
 
 class TokenEncoder:
-    """Ids of whole texts as the library gives them, without special tokens; their strings in a text are ordinary text."""
+    """Ids of whole texts as the library gives them, with none added; a text that holds an added token's string goes to it whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
@@ -62,6 +61,7 @@ class TokenEncoder:
             self.cuts, self.space, self.line, plain = bare_cuts, "", "", f"[{_SMALL}]+"
         else:
             raise ValueError(f"{path}: no cut is known to be safe for this splitter")
+        self.added = "|".join(re.escape(token["content"]) for token in layout["added_tokens"])
         # Added tokens are found before a text is split, so none may lie within letters.
         direct = "ByteLevel" in splits and not any(token["content"].strip().isalpha() for token in layout["added_tokens"])
         self.plain = re.compile(plain if direct else r"(?!)")
@@ -81,6 +81,24 @@ class TokenEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end``, and the number of ids of each text with it."""
+        texts = filled(texts)
+        # Some spell them otherwise; the library knows which count.
+        special = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if special.any():
+            return self._with_added(texts, special, end)
+        return self._without_added(texts, end)
+
+    def _with_added(self, texts: pa.Array, special: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self._without_added(texts.filter(pa.array(~special)), end)
+        others = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        encode = self.library.encode
+        parts = [
+            np.array([*encode(texts[k].as_py(), add_special_tokens=False).ids, end], np.int32) if special[k] else next(others)
+            for k in range(len(texts))
+        ]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _without_added(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.space:
             texts = pc.ascii_lower(texts)  # one entry for all cases of a word; other letters are left to the library
         ids, ends = encode_texts(texts, self.words, self.space, self.line, self._other)

@@ -238,3 +238,14 @@ def test_cuts_of_letters_get_the_ids_of_the_library(name):
     found = np.split(ids, np.cumsum(counts)[:-1])
     for text, mine in zip(texts, found, strict=True):
         assert mine.tolist() == [*own.library.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_the_plain_library_s(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path(name))
+    for texts in (["q<|endoftext|>q", "plain words", None, "a <|ENDOFTEXT|> b, c.\n<|startoftext|> d", "<|endoftext|>", "more words"], ["<|endoftext|><|endoftext|>"]):
+        ids, counts = TokenEncoder(P.path(name)).encode(pa.array(texts, pa.string()), 7)
+        found = np.split(ids, np.cumsum(counts)[:-1])
+        assert [f.tolist() for f in found] == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
