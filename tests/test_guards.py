@@ -1,6 +1,7 @@
 """Faults of ordinary input that earlier results hid."""
 
 import os
+import random
 import subprocess
 import sys
 from datetime import datetime, timedelta
@@ -87,3 +88,19 @@ def test_queries_run_from_any_folder(tmp_path):
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-1500:]
+
+
+def test_windows_of_mappings_equal_brute_force_without_pairs(spark):
+    rng = random.Random(4)
+    rows = [(str(rng.randrange(2)), f"c{k}", rng.randrange(60), rng.choice([None, rng.randrange(80)]), rng.choice([None, 0, 1])) for k in range(120)]
+    day = lambda k: None if k is None else T0 + timedelta(days=k)
+    kinds = "source_id string, entity_type string, external_id string, canonical_entity_id string, valid_from timestamp, valid_until timestamp, observed_at timestamp"
+    few = [r for r in rows if r[3] is not None] + rows[:3]
+    for own in (rows, few):
+        mapping = spark.createDataFrame([("s", "club", x, c, day(a), day(b), day(o)) for x, c, a, b, o in own], kinds)
+        windows = rs.mapping_windows(mapping, ["source_id", "entity_type", "external_id"])
+        assert "Join" not in windows._jdf.queryExecution().executedPlan().toString()
+        asked = spark.createDataFrame([("s", "club", str(x), k, day(k)) for x in (0, 1) for k in range(-1, 85)], "source_id string, entity_type string, external_id string, k int, as_of timestamp")
+        for r in rs.map_provider_ids(asked, mapping).collect():
+            held = [(a, -1 if o is None else o, c) for x, c, a, b, o in own if x == r["external_id"] and a <= r["k"] and (b is None or r["k"] < b)]
+            assert r["canonical_entity_id"] == (max(held)[2] if held else None), r
