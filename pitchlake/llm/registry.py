@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import language, lines, minhash, neighbours, packing, pieces, quality, search, sharding, varbyte
+from pitchlake.llm import language, lines, minhash, neighbours, packing, pieces, private, quality, repair, search, sharding, trie, varbyte
 from pitchlake.llm.common import documents, in_buckets, prepare, scratch
 
 
@@ -71,6 +71,30 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (in_buckets("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = documents(spark, sf, "conversations")
+    found = repair.repaired(repair.damaged(turns))
+    every = turns.select("conv_id").distinct()
+    rows = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in repair.COUNTS]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+def op12_private(spark: SparkSession, sf: str) -> DataFrame:
+    found = private.personal_data(documents(spark, sf).select("doc_id", "text"))
+    spans = F.col("spans")
+    base = private.listed(F.filter(spans, lambda s: s["kind"].isin(*private.BASE)))
+    return found.select(
+        "doc_id", *[private.count_of(spans, kind).alias(f"n_{kind}") for kind in private.BASE],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), private.listed(spans).alias("spans"),
+    )
+
+
+def op13_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(documents(spark, sf, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +109,8 @@ def _prepared(query):
 
 
 QUERIES = {f.__name__: _prepared(f) for f in (
-    op1_pieces, op2_search, op3_line_dedup, op4_sharding, op5_packing, op6_minhash, op7_token_files, op8_language, op9_neighbours, op10_quality, pipeline,
+    op1_pieces, op2_search, op3_line_dedup, op4_sharding, op5_packing, op6_minhash, op7_token_files, op8_language, op9_neighbours, op10_quality,
+    op11_repair, op12_private, op13_trie, pipeline,
 )}
 
 SQL = {
