@@ -94,12 +94,10 @@ def scan(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
 
 
 def valid(rows: DataFrame, vector: str, id: str) -> DataFrame:
-    """``id`` and ``vector`` of rows that take part."""
+    """``id`` and ``vector`` of rows whose vectors are whole and not zero."""
     own = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    own = own.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    lengths = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return own.where(F.size("vector") == (lengths["n"] if lengths else 0))
+    return own.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
 def nearest(
@@ -108,16 +106,18 @@ def nearest(
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the nearest rows found for each query.
 
     Rows and queries without an id, or whose vector is null, all zero or holds a null or non-finite component, take no part, nor do
-    vectors whose length is not the most frequent one (the larger of equals).  A query never finds rows with its own id.  Ties
+    vectors whose length is not the most frequent one among the rows (the larger of equals).  A query never finds rows with its own id.  Ties
     go to the smaller id; rows that repeat an id count each, repeated queries once.  Fewer than ``k`` rows come back only if there
     are fewer candidates.  Extra columns are not read; an empty table gives no rows.
     """
     spark = rows.sparkSession
     own = valid(rows, vector, id)
-    n = own.count()
+    lengths = own.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
     schema = "query_id long, vec_id long, score double"
-    if not n:
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n, alike = lengths["n"], F.size("vector") == lengths["length"]
+    own = own.where(alike)
     part = own.where(share_of(F.xxhash64("id"), 1.3 * sample / n))
     drawn = part.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
     if not len(drawn):
@@ -151,7 +151,7 @@ def nearest(
                 [*[c.take(pa.array(at)) for c in batch.columns], pa.array(order[at, which].astype(np.int32))], ["id", "vector", "list"]
             )
 
-    wanted = valid(queries, vector, id).dropDuplicates(["id"])
+    wanted = valid(queries, vector, id).where(alike).dropDuplicates(["id"])
     asked = stored(wanted.mapInArrow(probing, "id long, vector array<double>, list int"), "probes")
     counts = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row per list
     number = lambda of: F.element_at(F.create_map(*[F.lit(int(x)) for pair in of for x in pair]), F.col("list"))

@@ -224,6 +224,9 @@ def test_neighbours(spark):
     found = neighbours.nearest(same, same.where("vec_id = 50")).orderBy("rank").collect()
     assert [r["vec_id"] for r in found] == [0, 1, 2, 3, 4]
     assert neighbours.nearest(table.limit(0), table).count() == 0
+    mixed = spark.createDataFrame([(k, [1.0, float(k), 2.0][: 2 if k % 50 == 0 else 3]) for k in [*range(1, 8), 50, 100]], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(mixed, mixed.where("vec_id % 50 = 0")).count() == 0
+    assert neighbours.nearest(mixed, mixed).count() == 7 * 5
 
 
 def test_hash_of_ids_is_the_crc(spark):
