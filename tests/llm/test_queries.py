@@ -88,7 +88,6 @@ def encoded(name, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
     return [x.ids for x in library.encode_batch(list(texts), add_special_tokens=False)]
 
 
