@@ -42,7 +42,7 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def decode_ranks(control: bytes, data: bytes, keep: np.ndarray) -> np.ndarray:
-    """Ranks of texts coded one after another; ``keep`` is false where a control byte's two bits stand for none."""
+    """Ranks of blocks coded one after another; ``keep`` is false where a control byte's two bits stand for none."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[keep]
     at = np.cumsum(lengths) - lengths
     values = np.frombuffer(data, np.uint8)
@@ -54,7 +54,7 @@ def decode_ranks(control: bytes, data: bytes, keep: np.ndarray) -> np.ndarray:
 
 
 def used_codes(counts: np.ndarray) -> np.ndarray:
-    """``keep`` of texts with so many ids each, whose control bytes are apart."""
+    """``keep`` of blocks with so many ids each, whose control bytes are apart."""
     slots = -(-counts // 4) * 4
     keep = np.ones(int(slots.sum()), bool)
     ends = np.cumsum(slots)
@@ -105,40 +105,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, id: str = "doc_i
     rank[order] = np.arange(len(order))
     ranks = spark.sparkContext.broadcast(rank)  # a number for each id of the vocabulary
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = unpacked(batch.column(1), batch.column(2))
-            own = ranks.value[ids]
-            parts = [encode_ranks(x) for x in np.split(own, np.cumsum(counts)[:-1])] if len(counts) else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c for c, _ in parts], pa.binary()), pa.array([d for _, d in parts], pa.binary())],
-                ["id", "n", "control", "data"],
-            )
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = before = 0
 
         def block() -> pa.RecordBatch:
-            ids, counts, controls, datas = zip(*held, strict=True)
-            row = [[before], [list(ids)], [list(counts)], [b"".join(controls)], [b"".join(datas)]]
+            ids, counts, own = zip(*held, strict=True)
+            control, data = encode_ranks(np.concatenate(own))
+            row = [[before], [sum(ids, [])], [np.concatenate(counts)], [control], [data]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
         names = ["before", "ids", "counts", "control", "data"]
         types = None
         for batch in batches:
             types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held.append(row)
-                size += row[1]
-                if size >= BLOCK_IDS:
+            ids, counts = unpacked(batch.column(1), batch.column(2))
+            own, stops, named, begin = ranks.value[ids], np.concatenate([[0], np.cumsum(counts)]), batch.column(0).to_pylist(), 0
+            while begin < len(counts):
+                # As many documents as fill the block, and one at least.
+                end = max(begin + 1, int(np.searchsorted(stops, stops[begin] + BLOCK_IDS - size, "right")) - 1)
+                held.append((named[begin:end], counts[begin:end], own[stops[begin] : stops[end]]))
+                size += int(stops[end] - stops[begin])
+                begin = end
+                if size >= BLOCK_IDS or begin < len(counts):
                     yield block()
                     held, size, before = [], 0, before + size
         if held:
             yield block()
 
-    rows = raw.mapInArrow(coded, f"id {kind}, n long, control binary, data binary")
-    ordered = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    # Coded after the sort, because cutting ranges reads the rows twice; rows of one id are told apart by their hash, and so in tasks.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("raw")]
+    ordered = raw.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     files = ordered.mapInArrow(blocks, f"before long, ids array<{kind}>, counts array<bigint>, control binary, data binary")
     files.withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -170,7 +167,7 @@ def read_tokens(spark: SparkSession, path: str, *, id: str = "doc_id", kind: str
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.asarray(row["counts"], np.int64)
-                ids = table.value[decode_ranks(row["control"], row["data"], used_codes(counts))]
+                ids = table.value[decode_ranks(row["control"], row["data"], used_codes(counts.sum(keepdims=True)))]
                 stops = np.cumsum(counts)
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
