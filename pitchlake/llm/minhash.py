@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id: s
     merged = components(merged.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b"))
     own = classes.join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("label"))
     own = own.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
-    own = own.select("digest", "least", F.coalesce("component", "label").alias("label"))
+    own = stored(own.select("digest", "least", F.coalesce("component", "label").alias("label")), "labels")
     names = own.groupBy("label").agg(F.min("least").alias("name"))
     named = own.join(names, "label").select("digest", "name", F.lit(True).alias("found"))
     out = signatures.select("id", "n", "digest").join(named, "digest", "left")
