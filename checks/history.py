@@ -405,11 +405,18 @@ def _resolution_inputs(spark, sf, misspelt: bool):
         F.when(F.col("p_size") % 2 == 0, "club").when(F.col("p_size") % 5 == 0, "coach").otherwise("player").alias("entity_type"),
         name.alias("name"),
         F.lit(datetime(2024, 1, 1)).alias("as_of"),
-        F.lit(None).cast("date").alias("birth_date"),
+        _birth(F.col("p_size"), 3, misspelt).alias("birth_date"),
         F.when(F.col("p_type") != "ECONOMY", F.col("p_brand")).alias("country_code"),
     )
-    candidates = ad.view(spark, sf, "candidates").withColumn("birth_date", F.lit(None).cast("date"))
-    return requests, candidates
+    born = _birth(F.col("p_partkey"), 4, misspelt).alias("birth_date")
+    known = ad.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), born)
+    return requests, ad.view(spark, sf, "candidates").join(known, "entity_id")
+
+
+def _birth(number, cycle: int, known: bool):
+    """A day of January 1990 from a number's remainder, none for the remainder 0."""
+    remainder = (number % cycle).cast("int")
+    return F.when(F.lit(known) & (remainder > 0), F.date_add(F.lit("1990-01-01").cast("date"), remainder))
 
 
 def _verdicts(results: DataFrame) -> DataFrame:
@@ -595,6 +602,40 @@ res as (select r.request_id, r.entity_type, r.nm as normalized_name, a.n, a.top,
         then 'the candidates are too close or too weak to decide without review' end as explanation
   from req r left join agg a on a.request_id = r.request_id)"""
 
+# Similarity of each distinct pair of names: longest common blocks, earliest first, then what lies left and right of each.
+_FUZZY = f"""with recursive cand as (select p_partkey as entity_id, case when p_size % 2 = 0 then 'club' else 'player' end as entity_type,
+    trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as nm, p_brand as cc,
+    case when p_partkey % 4 > 0 then date '1990-01-01' + cast(p_partkey % 4 as int) end as born from part),
+req as (select cast(p_partkey as varchar) as request_id,
+    case when p_size % 2 = 0 then 'club' when p_size % 5 = 0 then 'coach' else 'player' end as entity_type,
+    trim(regexp_replace(lower(translate(p_name, 'aeo', 'eoa')), '[^a-z0-9]+', ' ', 'g')) as nm,
+    case when p_size % 3 > 0 then date '1990-01-01' + cast(p_size % 3 as int) end as born,
+    case when p_type <> 'ECONOMY' then p_brand end as cc from part),
+names as (select distinct r.nm as a, c.nm as b from (select distinct nm, entity_type from req) r join (select distinct nm, entity_type from cand) c using (entity_type)),
+parts(a, b, x, y, matched) as (
+  select a, b, a, b, 0 from names
+  union all
+  (with found as (select a, b, x, y, list_max(flatten(list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) - i + 2),
+        lambda k: case when contains(y, substr(x, i, k)) then {{'size': k, 'at': -i}} end)))) as block from parts where len(x) > 0 and len(y) > 0),
+    placed as (select *, block['size'] as k, -block['at'] as i, strpos(y, substr(x, -block['at'], block['size'])) as j from found where block is not null)
+  select a, b, case when side = 0 then substr(x, 1, i - 1) else substr(x, i + k) end, case when side = 0 then substr(y, 1, j - 1) else substr(y, j + k) end,
+    case when side = 0 then k else 0 end from placed, (select unnest([0, 1]) as side))),
+alike as (select a, b, case when len(a) + len(b) = 0 then 1.0::double else 2.0::double * sum(matched) / (len(a) + len(b)) end as name_score from parts group by a, b),
+pairs as (select r.request_id, c.entity_id, r.nm = c.nm as same, s.name_score,
+    case when r.born is null or c.born is null then s.name_score when r.born = c.born then least(1.0::double, s.name_score + 0.06::double)
+      else greatest(0.0::double, s.name_score + -0.2::double) end as by_birth, r.cc as asked, c.cc as has, r.born is null and r.cc is null as bare
+  from req r join cand c on c.entity_type = r.entity_type join alike s on s.a = r.nm and s.b = c.nm),
+scored as (select *, case when asked is null or has is null then by_birth when upper(asked) = upper(has) then least(1.0::double, by_birth + 0.02::double)
+    else greatest(0.0::double, by_birth + -0.04::double) end as score, count(*) filter (same) over (partition by request_id) as exact from pairs),
+ranked as (select *, row_number() over (partition by request_id order by score desc, entity_id) as rn, count(*) over (partition by request_id) as n
+  from scored where same or exact = 0 qualify rn <= 5),
+agg as (select request_id, any_value(exact) as exact, any_value(n) as n, any_value(bare) as bare, max(score) as top, max(case when rn = 2 then score end) as second,
+    max(case when rn = 1 then entity_id end) as first_id, string_agg(entity_id::varchar, ',' order by rn) as ids,
+    coalesce(string_agg(entity_id::varchar, ',' order by rn) filter (score >= 0.65::double), '') as review from ranked group by request_id),
+rung as (select r.request_id, r.nm, a.*, case when a.n is null then 1 when exact = 1 then 2 when exact > 1 and bare then 4
+    when top >= 0.92::double and (n = 1 or top - coalesce(second, 0) >= 0.08::double) then 5 when review <> '' then 6 else 7 end as rung
+  from req r left join agg a on a.request_id = r.request_id)"""
+
 _INGEST = f"""with src as ({_RUN_SOURCES}), rn as ({_RUNS}), rec as ({_RUN_RECORDS}),
 chk as (select rec.*, rn.source_key as want,
     case when rec.source_key <> rn.source_key then 0 when rec.parser_version <> 'p1' then 1
@@ -738,6 +779,14 @@ select * from n except select * from p""",
     "resolve_namesakes": f"""{_EXACT}
 select request_id, normalized_name, status, method, resolved_entity_id, round(top, 6) as top_score,
   coalesce(ids, '') as candidates, explanation from res""",
+    "resolve_misspelt": f"""{_FUZZY}
+select request_id, nm as normalized_name, case when rung in (2, 5) then 'matched' when rung in (4, 6) then 'ambiguous' else 'unmatched' end as status,
+  case when rung in (2, 4) then 'exact' when rung = 5 and exact > 1 then 'attribute' when rung in (5, 6) then 'fuzzy' else 'none' end as method,
+  case when rung in (2, 5) then first_id end as resolved_entity_id, round(top, 6) as top_score,
+  case when rung = 1 then '' when rung = 6 then review else ids end as candidates,
+  case rung when 1 then 'nothing is known of that entity type' when 4 then 'several entities bear this very name'
+    when 6 then 'the candidates are too close or too weak to decide without review' when 7 then 'all candidates are too weak to review' end as explanation
+from rung""",
     "review_queue": f"""{_EXACT}
 select {_uuid5("'review_case:' || request_id")} as case_id, request_id, 'pending' as status, explanation as reason,
   cast(shown as int) as candidates from res where status = 'ambiguous'""",

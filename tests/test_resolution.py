@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.functions.text import fold_name, normalize_name
+from pitchlake.operators import fuzzy
 from pitchlake.operators import resolution as rs
 
 CANDIDATE = "entity_id string, entity_type string, canonical_name string, birth_date date, country_code string"
@@ -25,7 +26,7 @@ def brute(request, candidates, aliases):
             a for e, t, a, f, u in aliases
             if e == entity and t == kind and (f is None or as_of >= f) and (u is None or as_of < u)
         ]
-        best = max(rs.similarity(wanted, fold_name(n)) for n in names)
+        best = max(fuzzy.similarity(wanted, fold_name(n)) for n in names)
         score = best
         if birth and other_birth:
             score = min(1.0, score + 0.06) if birth == other_birth else max(0.0, score - 0.20)
@@ -108,8 +109,11 @@ def test_ladder_cases(spark):
     assert found["notype"]["candidates"] == []
 
 
-@pytest.mark.parametrize("tile_rows", [20_000, 7])
-def test_random_differential(spark, tile_rows):
+@pytest.mark.parametrize(("tile_names", "block"), [(16, 2_000), (1, 3)])
+def test_random_differential(spark, monkeypatch, tile_names, block):
+    monkeypatch.setattr(fuzzy, "TILE_NAMES", tile_names)
+    monkeypatch.setattr(fuzzy, "BLOCK_NAMES", block)
+    monkeypatch.setattr(fuzzy, "BLOCK_QUESTIONS", block)
     rng = Random(5)
     syllables = ["an", "ber", "cor", "da", "el", "fa", "gan", "li", "mo", "ra", "sto", "ti"]
 
@@ -139,7 +143,7 @@ def test_random_differential(spark, tile_rows):
         )
         for i in range(80)
     ]
-    check(spark, requests, candidates, aliases, tile_rows=tile_rows)
+    check(spark, requests, candidates, aliases)
 
 
 def test_custom_scorer_and_review(spark):
@@ -151,4 +155,66 @@ def test_custom_scorer_and_review(spark):
     cases = rs.review_cases(out).collect()
     assert [c["request_id"] for c in cases] == ["r1"] and len(cases[0]["case_id"]) == 36
     audit = rs.decisions(out, "nightly", F.lit(T0)).orderBy("request_id").collect()
-    assert [str(r["top_score"]) for r in audit] == ["0.7000", "1.0000"]
+    # The scorer is asked about the exact candidate too.
+    assert [str(r["top_score"]) for r in audit] == ["0.7000", "0.1000"]
+
+
+class Seniority:
+    """Scores by the entity's id and how many names it has."""
+
+    def score(self, question, candidate):
+        value = int(candidate.entity_id[1:]) / 10 + len(candidate.names) / 100
+        return fuzzy.Score(value, 0.5, [question.name, *candidate.names])
+
+
+def test_scorer_decides_exact_pools(spark):
+    candidates = [(f"e{k}", "club", "Twin City" if k < 8 else "Other", date(1990, 1, 1), None) for k in range(9)]
+    aliases = [("e6", "club", "Old Twin", T0, None), ("e6", "club", "Gone", None, T0)]
+    requests = [("twins", "club", "twin city", T0, date(1990, 1, 1), None), ("none", "club", "zz", T0, None, None), ("coach", "coach", "zz", T0, None, None)]
+    out = rs.resolve(
+        spark.createDataFrame(requests, REQUEST), spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame(aliases, ALIAS),
+        scorer=Seniority(), auto_match_threshold=0.7, ambiguity_margin=0.05,
+    )
+    rows = {r["request_id"]: r for r in out.collect()}
+    # Eight namesakes, all scored: the fifth smallest id is not the end of them.
+    assert [c["entity_id"] for c in rows["twins"]["candidates"]] == ["e7", "e6", "e5", "e4", "e3"]
+    assert (rows["twins"]["method"], rows["twins"]["resolved_entity_id"]) == ("attribute", "e7")
+    assert rows["twins"]["candidates"][1]["reasons"] == ["twin city", "old twin", "twin city"] and rows["twins"]["candidates"][1]["score"] == 0.62
+    assert [c["entity_id"] for c in rows["none"]["candidates"]] == ["e8", "e7", "e6", "e5", "e4"]
+    assert rows["coach"]["status"] == "unmatched" and rows["coach"]["candidates"] == []
+
+
+def test_bounds_hold_and_tiles_are_passed_over(spark):
+    rng = Random(9)
+    syllables = ["qu", "ber", "cor", "da", "el", "fa", "gan", "li", "mo", "ra", "sto", "ti", "vy", "hux", "pim", "zek"]
+
+    def name():
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+
+    names = sorted({name() for _ in range(4000)})
+    asked = [n[:-1] + "x" for n in rng.sample([n for n in names if len(n) > 6], 60)]
+    candidates = spark.createDataFrame([(f"e{k:05}", "club", n, None, None) for k, n in enumerate(names)], CANDIDATE)
+    requests = spark.createDataFrame([(f"r{k}", "club", n, T0, None, None) for k, n in enumerate(asked)], REQUEST)
+    classes = rs.name_classes(rs.candidate_names(candidates))
+    questions = rs._questions(requests, dated=False).select("_question", "entity_type", "normalized_name", "as_of", "birth_date", "country_code")
+    stats = {}
+    found = fuzzy.nearest(questions, classes, rs._CLASS, stats)
+    best = {}
+    for r in found.join(questions, "_question").collect():
+        best.setdefault(r["normalized_name"], []).append((-r["_name_score"], r["_entity"]))
+    for n in asked:
+        want = sorted((-fuzzy.similarity(n, other), f"e{k:05}") for k, other in enumerate(names))[:5]
+        assert sorted(best[n])[:5] == want
+    assert stats["tiles"] > 20 and stats["visits"] < 0.5 * stats["tiles"] * stats["questions"], stats
+
+
+def test_tile_bounds_are_upper_bounds(spark):
+    rng = Random(11)
+    names = ["".join(rng.choices("abcdeirs 12", k=rng.randint(0, 20))).strip() for _ in range(300)]
+    rows = spark.createDataFrame([("club", n, None, None, ["e"]) for n in names], "entity_type string, name string, valid_from date, valid_until date, entity_ids array<string>")
+    tiled = rows.withColumn("tile", fuzzy.tile_of(F.col("name"), 4))
+    tiles = fuzzy.tiles_by_type(fuzzy.tile_summaries(tiled))["club"]
+    place = {r["name"]: r["tile"] for r in tiled.collect()}
+    for question in names[:60]:
+        bound = dict(zip(tiles.tile.tolist(), tiles.bounds(question), strict=True))
+        assert all(fuzzy.similarity(question, n) <= bound[place[n]] + 1e-12 for n in names)
