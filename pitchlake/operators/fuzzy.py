@@ -4,7 +4,7 @@ No token may be required of a near name, so nothing can be blocked on.  Instead
 of some common letters it has), and a tile carries one summary: its shortest and longest name and, letter by letter, the most any of its names
 has.  From these follows an upper bound of the similarity of any name of the tile to a question.
 
-A question first visits the tiles of the highest bounds, as many as hold five entities.  Its fifth score there is a floor: only tiles whose
+A question first visits the tiles of the highest bounds, as many as hold a few hundred entities.  Its fifth score there is a floor: only tiles whose
 bound reaches it are visited after that, and within a tile only names whose own bound does.  Both visits are joins on the tile, dealt in blocks
 of bounded size.  Summaries are at most 8,192 a type, whatever the number of names, and types are a closed vocabulary.
 """
@@ -39,6 +39,7 @@ SIGNATURE = "eaionrtls"  # letters whose presence tells names apart best, the mo
 BAND, BANDS = 3, 16
 TILES_PER_TYPE = BANDS << len(SIGNATURE)
 TILE_NAMES = 16
+FIRST_ENTITIES = 256  # held by the tiles visited first; fewer give a lower floor
 BLOCK_NAMES, BLOCK_QUESTIONS = 2_000, 2_000
 PAIRS_KEPT = 200_000
 _CODES = np.full(256, -1, np.int64)
@@ -230,11 +231,11 @@ class Tiles:
         return np.where(total == 0, 1.0, 2.0 * np.minimum(shared, length) / np.maximum(total, 1))
 
     def first(self, bounds: np.ndarray) -> np.ndarray:
-        """Whether a tile is among those of the highest bounds that hold five entities together."""
+        """Whether a tile is among those of the highest bounds that hold FIRST_ENTITIES together."""
         order = np.lexsort((self.tile, -bounds))
         before = np.cumsum(self.entities[order]) - self.entities[order]
         taken = np.zeros(len(order), bool)
-        taken[order[before < TOP]] = True
+        taken[order[before < FIRST_ENTITIES]] = True
         return taken
 
 
@@ -350,9 +351,10 @@ def nearest(questions: DataFrame, classes: DataFrame, class_id: Sequence[str], s
     ``stats`` receives the numbers of tiles, of questions, and of visits made by them.
     """
     ensure_checkpoint_dir(questions.sparkSession)
+    classes = classes.checkpoint()
     n = classes.select("entity_type", "name").distinct().count()
     bits = min(len(SIGNATURE), max(0, math.ceil(math.log2(max(1, n) / (4 * TILE_NAMES)))))
-    tiled = classes.withColumn("tile", tile_of(F.col("name"), bits)).checkpoint()
+    tiled = classes.withColumn("tile", tile_of(F.col("name"), bits))
     tiles = tiles_by_type(tile_summaries(tiled))
     asked = questions.withColumn("_floor", F.lit(-1.0)).checkpoint()
     # A row per question and tile visited first; what comes of it is read twice.
