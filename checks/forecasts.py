@@ -146,7 +146,14 @@ def paired_delta(spark, sf):
 
 
 def paired_bootstrap(spark, sf):
-    return rounded(ev.paired_bootstrap(_walk(spark, sf, [m.PoissonModel()], market=True), BY))
+    # Blocks of 1024 pairs, so that groups of the test tables have several.
+    return rounded(ev.paired_bootstrap(_walk(spark, sf, [m.PoissonModel()], market=True), BY, block_rows=1024))
+
+
+def backtest_order(spark, sf):
+    """Every forecast's place in the order of a backtest: kickoff, then the text of the match id."""
+    runs = _walk(spark, sf, [m.PoissonModel()], LEADS)
+    return bt.in_backtest_order(runs).select("place", "match_id", "lead_time_seconds")
 
 
 def leakage_check(spark, sf):
@@ -342,6 +349,25 @@ def _config_hashes() -> str:
 _PRED = _forecasts([m.PoissonModel()])
 _DC = _forecasts([m.DixonColesModel()])
 
+def _mix(state: str, value: str, out: str) -> str:
+    """The generator's step as columns of one SELECT, each built on the one before."""
+    return (
+        f"(({state}) * 31 + ({value})) & 2147483647 as {out}0, (xor({out}0, {out}0 >> 16) * 73244475) & 2147483647 as {out}1, "
+        f"(xor({out}1, {out}1 >> 16) * 73244475) & 2147483647 as {out}2, xor({out}2, {out}2 >> 16) as {out}"
+    )
+
+
+def _lanes(values: list[str], out: str) -> str:
+    """Both lanes after a list of values, as columns ``out`` with a and b."""
+    columns = []
+    for lane, state in (("a", "19088743::bigint"), ("b", "124076833::bigint")):
+        for k, value in enumerate(values):
+            state_out = f"{out}{lane}{k}_" if k < len(values) - 1 else f"{out}{lane}"
+            columns.append(_mix(state, value, state_out))
+            state = state_out
+    return ", ".join(columns)
+
+
 SQL = {
     "poisson_walk_forward": f"{_PRED},{_SCORED},{_bins('competition_key')}{_metrics('competition_key')}",
     "dixon_coles_walk_forward": f"{_DC},{_SCORED},{_bins('competition_key')}{_metrics('competition_key')}",
@@ -391,6 +417,23 @@ select model_key, lead_time_seconds, count(*) as forecasts, round(avg(rps), 6) a
     "paired_delta": f"""{_PRED},{_SCORED},{_MARKET},{_PRICED}
 select competition_key, count(*) as pairs, round(avg(rps - mkt_rps), 6) as mean_delta from pr
 where mkt_rps is not null group by all""",
+    "paired_bootstrap": f"""{_PRED},{_SCORED},{_MARKET},{_PRICED},
+pairs as (select competition_key, row_number() over (partition by competition_key order by match_id) - 1 as i, rps - mkt_rps as delta from pr where mkt_rps is not null),
+sizes as (select competition_key, count(*) as n, avg(delta) as mean_delta, ('0x' || substr(md5(competition_key::varchar), 1, 7))::bigint as g from pairs group by all),
+reps as (select *, unnest(range(1000)) as r from sizes),
+blocked as (select competition_key, n, g, r, ((da << 31) + db) % n // 1024 as block, count(*) as m from (
+    select competition_key, n, g, r, j, {_mix('ka', 'j', 'da')}, {_mix('kb', 'j', 'db')} from (
+      select competition_key, n, g, r, unnest(range(n)) as j, ka, kb from (select *, {_lanes(['0', 'g', 'r', '0'], 'k')} from reps))) group by all),
+times as (select competition_key, n, g, r, block, case when n <= 1024 then n else m end as m from blocked),
+drawn as (select competition_key, r, block * 1024 + ((da << 31) + db) % least(1024, n - block * 1024) as i from (
+    select competition_key, n, r, block, {_mix('ka', 't', 'da')}, {_mix('kb', 't', 'db')} from (
+      select competition_key, n, r, block, unnest(range(m)) as t, ka, kb from (select *, {_lanes(['0', 'g', 'r', 'block + 1'], 'k')} from times)))),
+totals as (select competition_key, r, sum(delta) as total from drawn join pairs using (competition_key, i) group by all),
+picked as (select competition_key, list_sort(list(total)) as l from totals group by all)
+select competition_key, n as pairs, round(mean_delta, 6) as mean_delta, round(l[1 + cast(floor(999 * 0.025) as int)] / n, 6) as lower_95,
+  round(l[1 + cast(floor(999 * 0.975) as int)] / n, 6) as upper_95 from sizes join picked using (competition_key)""",
+    "backtest_order": f"""{_state(LEADS)}
+select row_number() over (order by kickoff_at, match_id::varchar, lead_time_seconds) - 1 as place, match_id, lead_time_seconds from state where n >= 50""",
     "leakage_check": f"""{_state(LEADS)},{_MARKET}
 select lead_time_seconds, count(*) as forecasts,
   count(case when data_cutoff > moved or b.o > moved or kickoff_at <= moved then 1 end) as leaks
@@ -448,6 +491,6 @@ QUERIES = {
         poisson_walk_forward, dixon_coles_walk_forward, elo_walk_forward, elo_final_ratings, model_grid_report,
         poisson_predictions, score_grid_means, training_windows, market_alignment, model_against_market,
         market_coverage, calibration_bins, calibration_error, calibration_rollup, paired_delta, paired_bootstrap,
-        leakage_check, points_baseline, league_standings, league_head_to_head, data_snapshot,
+        backtest_order, leakage_check, points_baseline, league_standings, league_head_to_head, data_snapshot,
     )
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.functions import scores
+from pitchlake.operators.ordering import with_ordinal
 from pitchlake.session import ensure_checkpoint_dir
 
 CLASSES = ("home", "draw", "away")
@@ -135,6 +136,30 @@ def paired_delta(df: DataFrame, by: Sequence[str], model: str = "rps", benchmark
     return df.groupBy(*by).agg(F.count(delta).alias("pairs"), F.avg(delta).alias("mean_delta")).filter("pairs > 0")
 
 
+# The counter-based generator (fixed values): 31-bit lanes, so that products stay within a long in any engine.
+_MASK, _FACTOR, _LANES = 0x7FFFFFFF, 0x45D9F3B, (0x1234567, 0x7654321)
+BLOCK = 1 << 16
+_DRAWS = 1 << 20
+
+
+def _mixed(state, value):
+    """The next state of a lane after a value; numbers or arrays of them."""
+    state = (state * 31 + value) & _MASK
+    state = ((state ^ (state >> 16)) * _FACTOR) & _MASK
+    state = ((state ^ (state >> 16)) * _FACTOR) & _MASK
+    return state ^ (state >> 16)
+
+
+def _drawn(seed: int, group: int, replicate: int, stream: int, counters: np.ndarray, bound: int) -> np.ndarray:
+    """Numbers below ``bound``, one per counter, of a stream of a replicate of a group."""
+    lanes = []
+    for state in _LANES:
+        for value in (seed, group, replicate, stream):
+            state = _mixed(state, value)
+        lanes.append(_mixed(np.int64(state), counters))
+    return ((lanes[0] << 31) + lanes[1]) % bound
+
+
 def paired_bootstrap(
     df: DataFrame,
     by: Sequence[str],
@@ -144,15 +169,15 @@ def paired_bootstrap(
     *,
     seed: int = 0,
     samples: int = 1000,
-    block_rows: int = 1_000_000,
+    block_rows: int = BLOCK,
 ) -> DataFrame:
     """Mean paired delta per group with its 95 % bootstrap interval (index ``int((samples-1)*q)``).
 
-    Ordinary n-out-of-n resampling, spread over tasks.  Rows are hashed into blocks of about ``block_rows``;
-    for each replicate the n draws are split over the blocks by a multinomial on their sizes, and each block
-    makes its own share of draws locally.  Together that is the same distribution as n draws over the whole
-    group, but what crosses the network is one sum per replicate and block.  Seeds depend only on (seed,
-    group, replicate, block), so reruns and lost tasks reproduce the same numbers.
+    Ordinary n-out-of-n resampling with replayable draws.  Pairs stand in the order of ``row_id``, then of their deltas, and are cut into blocks of
+    ``block_rows``.  A draw is a number of a counter-based generator keyed by (seed, group, replicate): the first stream says to
+    how many draws each block comes, with a chance by its size; a block's own stream says which of its rows they are.  Draws
+    are counted before anything is shuffled, so a count per replicate and block crosses the network, and no task holds more than a
+    block of rows or a part of a replicate's draws.  Results depend on seed, samples and ``block_rows`` only, not on partitions or retries.
     """
     if samples < 100:
         raise ValueError("bootstrap needs at least 100 samples")
@@ -160,66 +185,52 @@ def paired_bootstrap(
         raise ValueError(f"seed is {seed}, below 0")
     by = list(by)
     delta = F.col(model) - F.col(benchmark)
-    group_key = F.to_json(F.struct(*by)) if by else F.lit("{}")
+    # The group's number in the generator: seven hex digits of a digest of its values.
+    values = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
+    number = F.conv(F.substring(F.md5(values.cast("binary")), 1, 7), 16, 10).cast("long")
     # Through a generator, because a filter on the delta itself would be pushed below the model and make the
     # scan compute every forecast twice.
-    pairs = df.select(
-        *by, F.xxhash64(group_key).alias("_g"), F.xxhash64(F.col(row_id).cast("string")).alias("_row"),
-        F.explode(F.array(delta.cast("double"))).alias("_delta"),
-    ).filter(F.col("_delta").isNotNull())
-    # Sizes, blocks and draws each read the deltas; the forecasts behind them are computed once.
+    pairs = df.select(*by, F.to_json(F.struct(F.lit(0), *by)).alias("_g"), number.alias("_number"), F.col(row_id).alias("_row"), F.explode(F.array(delta.cast("double"))).alias("_delta"))
+    numbered = with_ordinal(pairs.filter(F.col("_delta").isNotNull()), ["_row", "_delta"], ["_g"])
     ensure_checkpoint_dir(df.sparkSession)
-    pairs = pairs.checkpoint()
-    sizes = pairs.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("pairs"), F.avg("_delta").alias("mean_delta"))
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("pairs") / F.lit(block_rows)).cast("int"))
-    placed = pairs.join(sizes.select("_g", "_blocks"), "_g").select(
-        "_g", F.pmod(F.col("_row"), F.col("_blocks")).cast("int").alias("_block"), "_row", "_delta"
-    )
+    numbered = numbered.checkpoint()
+    sizes = numbered.groupBy(*by, "_g", "_number").agg(F.count(F.lit(1)).alias("pairs"), F.avg("_delta").alias("mean_delta"))
 
-    # Draws per (replicate, block): one row per replicate carries the block sizes of its group.
-    blocks = placed.groupBy("_g", "_block").agg(F.count(F.lit(1)).alias("_size"))
-    plan = blocks.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_block", "_size"))).alias("_list"))
-    replicates = plan.select("_g", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_r"), "_list")
+    part = F.explode(F.expr(f"sequence(0L, cast((pairs - 1) div {_DRAWS} as bigint))")).alias("_part")
+    replicates = sizes.select("_g", "_number", "pairs", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_r")).select("*", part)
 
-    def allot(batches):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_g", "_number", "_r", "_block", "_m"]
         for batch in batches:
-            draws = []
-            for group, replicate, listed in zip(batch["_g"], batch["_r"], batch["_list"]):
-                counts = np.array([b["_size"] for b in listed], dtype=np.int64)
-                if len(counts) == 1:
-                    draws.append(counts.tolist())
-                    continue
-                rng = np.random.default_rng([seed, int(group) & 0xFFFFFFFFFFFFFFFF, int(replicate)])
-                draws.append(rng.multinomial(counts.sum(), counts / counts.sum()).tolist())
-            yield pd.DataFrame({"_g": batch["_g"], "_r": batch["_r"], "_list": batch["_list"], "_m": draws})
-
-    schema = "_g bigint, _r int, _list array<struct<_block:int,_size:bigint>>, _m array<bigint>"
-    allotted = (
-        replicates.mapInPandas(allot, schema)
-        .select("_g", "_r", F.explode(F.arrays_zip("_list._block", "_m")).alias("_z"))
-        .select("_g", F.col("_z._block").alias("_block"), "_r", F.col("_z._m").alias("_m"))
-        .groupBy("_g", "_block")
-        .agg(F.sort_array(F.collect_list(F.struct("_r", "_m"))).alias("_draws"))
-    )
-
-    def resample(key, rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-        group, block = key
-        values = rows.sort_values(["_row", "_delta"], kind="stable")["_delta"].to_numpy()
-        replicates_, totals = [], []
-        for entry in draws["_draws"].iloc[0]:
-            r, m = int(entry["_r"]), int(entry["_m"])
-            rng = np.random.default_rng([seed, int(group) & 0xFFFFFFFFFFFFFFFF, int(block), r, 1])
-            replicates_.append(r)
-            totals.append(float(values[rng.integers(0, len(values), m)].sum()) if m else 0.0)
-        return pd.DataFrame({"_g": group, "_r": replicates_, "_total": totals})
-
-    totals = (
-        placed.groupBy("_g", "_block")
-        .cogroup(allotted.groupBy("_g", "_block"))
-        .applyInPandas(resample, "_g bigint, _r int, _total double")
-        .groupBy("_g", "_r")
-        .agg(F.sum("_total").alias("_total"))
-    )
+            for group, number, n, replicate, part in zip(*(batch.column(k).to_pylist() for k in ("_g", "_number", "pairs", "_r", "_part")), strict=True):
+                draws = np.arange(part * _DRAWS, min(n, (part + 1) * _DRAWS), dtype=np.int64)
+                if n <= block_rows:
+                    blocks, times = np.zeros(1, np.int64), np.array([n])
+                else:
+                    blocks, times = np.unique(_drawn(seed, number, replicate, 0, draws, n) // block_rows, return_counts=True)
+                rows = len(blocks)
+                columns = [pa.array([group] * rows), pa.array([number] * rows, pa.int64()), pa.array([replicate] * rows, pa.int32()), pa.array(blocks), pa.array(times, pa.int64())]
+                if n > block_rows or part == 0:
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    draws = replicates.mapInArrow(counted, "_g string, _number long, _r int, _block long, _m long")
+    draws = draws.groupBy("_g", "_number", "_block", "_r").agg(F.sum("_m").alias("_m"))
+    # A list has at most a block's rows, or at most ``samples`` entries.
+    listed = draws.groupBy("_g", "_number", "_block").agg(F.collect_list(F.struct("_r", "_m")).alias("_times"))
+    block = F.expr(f"ordinal div {block_rows}").alias("_block")
+    blocks = numbered.select("_g", block, "ordinal", "_delta").groupBy("_g", "_block")
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("ordinal", "_delta"))).alias("_rows")).select("_g", "_block", F.col("_rows._delta").alias("_deltas"))
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, number, block, deltas, times in zip(*(batch.column(k) for k in ("_g", "_number", "_block", "_deltas", "_times")), strict=True):
+                own = deltas.values.to_numpy(zero_copy_only=False)
+                found = [(t["_r"], own[_drawn(seed, number.as_py(), t["_r"], block.as_py() + 1, np.arange(t["_m"]), len(own))].sum()) for t in times.as_py()]
+                replicate, total = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(found)), pa.array(replicate, pa.int32()), pa.array(total, pa.float64())], ["_g", "_r", "_total"])
+
+    totals = blocks.join(listed, ["_g", "_block"]).mapInArrow(resampled, "_g string, _r int, _total double")
+    totals = totals.groupBy("_g", "_r").agg(F.sum("_total").alias("_total"))
     lower, upper = int((samples - 1) * LOWER_QUANTILE), int((samples - 1) * UPPER_QUANTILE)
     # The collected array has exactly `samples` entries.
     means = totals.groupBy("_g").agg(F.sort_array(F.collect_list("_total")).alias("_sorted"))

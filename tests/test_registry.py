@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_check_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(registry.QUERIES) - set(registry.SQL) == {"paired_bootstrap"}
+    assert set(registry.QUERIES) - set(registry.SQL) == set()
 
 
 def test_entry(spark):
