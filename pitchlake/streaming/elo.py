@@ -1,12 +1,14 @@
 """Online Elo: ratings kept as keyed state, results applied in event-time order.
 
-State is one value per competition plus the results still waiting for the watermark, so it is bounded by
-clubs and by the lateness allowed.  A result that arrives after the watermark passed it cannot be applied
-in order any more; it is emitted with a null rating for the batch plan to pick up, never silently lost.
+Waiting results lie in a map keyed by the millisecond of their instant, one timer each, so a timer reads and removes its own results and no others.
+State is one rating per club plus the results still waiting for the watermark, so it is bounded by clubs and by the lateness
+allowed.  A result that arrives after the watermark passed it cannot be applied in order any more; it is emitted with a null
+rating for the batch plan to pick up, never silently lost.  A row without a match only moves the watermark.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,14 @@ from pitchlake.plans.models import EloModel
 OUTPUT = "competition_key string, match_id string, club_id string, result_observed_at timestamp, rating double"
 
 
+_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+
+
+def _micros(instant) -> int:
+    """Microseconds since the epoch."""
+    return pd.Timestamp(instant).value // 1000
+
+
 class _EloProcessor(StatefulProcessor):
     def __init__(self, model: EloModel) -> None:
         self.model = model
@@ -27,49 +37,47 @@ class _EloProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ratings = handle.getMapState("ratings", "club_id string", "rating double")
-        self.waiting = handle.getListState(
-            "waiting", "observed timestamp, kickoff timestamp, match_id string, home string, away string, actual double"
-        )
-
-    def _play(self, rows, competition: str) -> pd.DataFrame:
-        out = []
-        for observed, _, match_id, home, away, actual in rows:
-            home_rating, away_rating = (
-                self.ratings.getValue((club,))[0] if self.ratings.containsKey((club,)) else self.model.initial_rating
-                for club in (home, away)
-            )
-            gap = (home_rating + self.model.home_advantage) - away_rating
-            delta = self.model.k_factor * (actual - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
-            for club, rating in ((home, home_rating + delta), (away, away_rating - delta)):
-                self.ratings.updateValue((club,), (rating,))
-                out.append((competition, match_id, club, observed, rating))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        # Results of one millisecond as a JSON list; the key is when their timer fires.
+        self.waiting = handle.getMapState("waiting", "fires bigint", "results string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        late = []
-        fresh = []
+        watermark = timerValues.getCurrentWatermarkInMs()
+        late: list[tuple] = []
+        fresh: dict[int, list] = {}
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                entry = (r.result_observed_at, r.kickoff_at, r.match_id, r.home_club_id, r.away_club_id, r.actual)
-                if r.result_observed_at <= watermark:
-                    late.extend((key[0], r.match_id, club, r.result_observed_at, None) for club in (entry[3], entry[4]))
+            for r in batch[batch["match_id"].notna()].itertuples(index=False):
+                observed = _micros(r.result_observed_at)
+                fires = observed // 1000 + 1
+                if observed <= watermark * 1000:
+                    late.extend((key[0], r.match_id, club, r.result_observed_at, None) for club in (r.home_club_id, r.away_club_id))
                 else:
-                    fresh.append(entry)
-        if fresh:
-            self.waiting.appendList(fresh)
-            for instant in {e[0] for e in fresh}:
-                self.handle.registerTimer(int(pd.Timestamp(instant).timestamp() * 1000) + 1)
+                    fresh.setdefault(fires, []).append((observed, _micros(r.kickoff_at), r.match_id, r.home_club_id, r.away_club_id, r.actual))
+        for fires, results in fresh.items():
+            if self.waiting.containsKey((fires,)):
+                results = json.loads(self.waiting.getValue((fires,))[0]) + results
+            else:
+                self.handle.registerTimer(fires)
+            self.waiting.updateValue((fires,), (json.dumps(results),))
         if late:
-            yield pd.DataFrame(late, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            yield pd.DataFrame(late, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        entries = list(self.waiting.get())
-        ready = sorted((e for e in entries if pd.Timestamp(e[0]) <= watermark), key=lambda e: (e[0], e[1], e[2]))
-        if ready:
-            self.waiting.put([e for e in entries if pd.Timestamp(e[0]) > watermark])
-            yield self._play(ready, key[0])
+        fires = expiredTimerInfo.getExpiryTimeInMs()
+        results = sorted(json.loads(self.waiting.getValue((fires,))[0]))
+        self.waiting.removeKey((fires,))
+        ratings = {}
+        for club in {c for r in results for c in r[3:5]}:
+            known = self.ratings.containsKey((club,))
+            ratings[club] = self.ratings.getValue((club,))[0] if known else self.model.initial_rating
+        out = []
+        for observed, _, match_id, home, away, actual in results:
+            gap = (ratings[home] + self.model.home_advantage) - ratings[away]
+            delta = self.model.k_factor * (actual - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
+            ratings[home], ratings[away] = ratings[home] + delta, ratings[away] - delta
+            out.extend((key[0], match_id, club, pd.Timestamp(observed, unit="us"), ratings[club]) for club in (home, away))
+        for club, rating in ratings.items():
+            self.ratings.updateValue((club,), (rating,))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass

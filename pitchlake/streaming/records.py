@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def deduplicated_records(records: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -16,7 +19,10 @@ def deduplicated_records(records: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def run_health_stream(runs: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Runs and records per source, window, status and failure kind, emitted as windows close."""
+    """Runs and records per source, window, status and failure kind.
+
+    In append mode a window is emitted as it closes, in update mode (``write_updates``) whenever it changes, open ones included.
+    """
     return (
         runs.withWatermark("started_at", delay)
         .groupBy(F.window("started_at", width), "source_key", "status", "failure_kind")
@@ -42,3 +48,22 @@ def append_history(revisions: DataFrame, path: str, checkpoint: str):
         revisions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
+
+
+def write_updates(updates: DataFrame, path: str, checkpoint: str):
+    """Rows of an update-mode query, a folder per batch.
+
+    A batch that is run again after a failure replaces its own folder, so nothing is written twice.
+    """
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
+def read_updates(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key among the batches of ``write_updates``."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest")).select(*keys, "_newest.*")

@@ -82,3 +82,26 @@ def test_online_elo_equals_the_fold(spark, tmp_path):
     for club, rating in expected.items():
         final = [str(r["match_id"]) for r in order if club in (r["home_club_id"], r["away_club_id"])][-1]
         assert by_club[str(club)][final] == pytest.approx(rating, abs=1e-9)
+
+
+def test_updates_keep_the_newest_and_survive_a_repeated_batch(spark, tmp_path):
+    schema = "fixture_key string, revision int, status string"
+    source = tmp_path / "in"
+    for i, rows in enumerate([[("f", 1, "scheduled"), ("f", 3, "finished")], [("f", 2, "postponed"), (None, 1, "scheduled")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"b{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    heads = records.fixture_heads(stream)
+    out, log = str(tmp_path / "out"), tmp_path / "log"
+
+    def run():
+        records.write_updates(heads, out, str(log)).trigger(availableNow=True).start().awaitTermination()
+        return {(r["fixture_key"], r["revision"], r["status"]) for r in records.read_updates(spark, out, heads.schema, ["fixture_key"]).collect()}
+
+    first = run()
+    assert first == {("f", 3, "finished"), (None, 1, "scheduled")}
+    # The last batch was written, but its commit was lost: it runs again.
+    newest = max((log / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    (log / "commits" / f".{newest.name}.crc").unlink(missing_ok=True)
+    assert run() == first
+    assert spark.read.parquet(out).count() == 3
