@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pitchlake.functions.timing import to_utc
 from pitchlake.operators import canonical as c
 from pitchlake.session import ensure_checkpoint_dir
 from pitchlake.sources import documents as d
-from pitchlake.sources.store import TableStore
+from pitchlake.sources.store import JOBS_AT_ONCE, TableStore
 
 
 class ImportConflict(ValueError):
@@ -162,8 +163,8 @@ def import_dataset(
 ) -> DataFrame:
     """Import validated documents and return the summary (rows per table and in total).
 
-    All tables are classified first; on any conflict nothing is written.  New rows and new evidence
-    bindings are then committed together.
+    All tables are classified first; on any conflict nothing is written, and the summary that the error carries counts the conflicts, those
+    of evidence bindings included.  New rows and new evidence bindings are then committed together.
     """
     flat = d.flatten_seeds(seeds)
     incoming = {**seed_tables(flat), **history_tables(observations)}
@@ -180,8 +181,15 @@ def import_dataset(
         )
     # Kept, so that what is counted, what is checked and what is written are the same rows.
     ensure_checkpoint_dir(store.spark)
-    classified = {name: df.checkpoint() for name, df in classify_all(incoming, stored).items()}
-    summary = c.summarise(classified)
+    plans = classify_all(incoming, stored)
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as jobs:
+        classified = dict(zip(plans, jobs.map(lambda df: df.checkpoint(), plans.values()), strict=True))
+    clashes = {}
+    if bindings is not None:
+        bindings = bindings.checkpoint()
+        torn = bindings.filter(F.col("binding_action") == "conflict")
+        clashes["match_revision_bindings"] = torn.select(F.lit("conflict").alias("action"), F.lit(1).cast("long").alias("_occurrences"))
+    summary = c.summarise({**classified, **clashes})
     sample = c.conflicts(classified).limit(5).collect()
     if not sample and bindings is not None:
         sample = bindings.filter(F.col("binding_action") == "conflict").limit(5).collect()

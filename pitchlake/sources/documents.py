@@ -303,7 +303,7 @@ def manifest_violations(manifests: DataFrame) -> DataFrame:
             F.col("evidence_key"), F.lit("unique"),
         ),
         fault(
-            q.duplicate_keys(flat["evidence_refs"], ["source_key", "fixture_key", "revision"]), "reference", ref,
+            q.duplicate_keys(flat["evidence_refs"], ["fixture_key", "revision"]), "reference", ref,
             F.lit("one_primary_evidence"),
         ),
     ]
