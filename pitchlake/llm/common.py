@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     "spark.sql.parquet.compression.codec": "zstd",
-    # Plans of many joins hold each small relation in the driver until they are let go; what is broadcast here says so itself.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
     # Each new plan of an adaptive query is described anew; the driver keeps the descriptions of a thousand queries.
     "spark.sql.maxPlanStringLength": "4k",
     "spark.sql.ui.explainMode": "simple",
