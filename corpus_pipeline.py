@@ -6,6 +6,8 @@ from the table ``documents`` and its labels, the decisions are made on what the
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,36 +18,49 @@ from pitchlake.llm.common import documents, in_buckets, prepare, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session for a stage of one long application: no automatic broadcasts, and what the stage before left in the driver let go.
+
+    Plans of many joins hold every small relation in the driver until nothing refers to them, and Spark cleans up after them only when the
+    driver collects; what is broadcast here says so itself.
+    """
+    prepare(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; those without a letter go too."""
-    prepare(spark)
+    ready(spark)
     model = language.fit(documents(spark, sf_dir).where(in_buckets("doc_id") != 0))
     return language.predict(docs, model).where("not rejected").select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1."""
-    prepare(spark)
+    ready(spark)
     model = quality.fit(registry.labelled(spark, sf_dir))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of runs of lines; n_chars follows the text."""
-    prepare(spark)
+    ready(spark)
     return lines.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest id."""
-    prepare(spark)
+    ready(spark)
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
-    prepare(spark)
+    ready(spark)
     pieces = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(pieces.drop("ids"))
 

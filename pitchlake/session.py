@@ -20,7 +20,7 @@ RUNTIME_SETTINGS = {
     # A hot join key is split even where that costs the following aggregate a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # The usual bound; set again here because the operators on training corpora turn automatic broadcasts off.
+    # The usual bound; set again here because the pipeline on training corpora turns automatic broadcasts off.
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
 }
 
