@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pitchlake.functions.ids import canonical_id, optional_id
 from pitchlake.functions.timing import to_utc
 from pitchlake.operators import canonical as c
+from pitchlake.operators import quality as q
 from pitchlake.session import ensure_checkpoint_dir
 from pitchlake.sources import documents as d
+from pitchlake.sources import keys
 from pitchlake.sources.store import JOBS_AT_ONCE, TableStore
 
 
@@ -164,7 +166,7 @@ def import_dataset(
     """Import validated documents and return the summary (rows per table and in total).
 
     All tables are classified first; on any conflict nothing is written, and the summary that the error carries counts the conflicts, those
-    of evidence bindings included.  New rows and new evidence bindings are then committed together.
+    of evidence bindings included.  New rows must keep the unique and foreign keys of the store.  New rows and new evidence bindings are then committed together.
     """
     flat = d.flatten_seeds(seeds)
     incoming = {**seed_tables(flat), **history_tables(observations)}
@@ -202,5 +204,6 @@ def import_dataset(
     }
     if bindings is not None:
         new_rows["match_revision_bindings"] = bindings.filter(F.col("binding_action") == "fill").drop("binding_action")
+    q.enforce(keys.key_faults(store, new_rows), "keys of new rows")
     store.append(run_id, new_rows)
     return counted
