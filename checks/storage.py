@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks import forecasts, history
+from checks import forecasts, history, imports
 from checks.imports import _folder, _written
 from checks.streams import _drain
+from pitchlake.functions import payloads
+from pitchlake.plans import imports as plan
 from pitchlake.plans import models as m
 from pitchlake.sources import adapters as ad
 from pitchlake.sources import collectors, ingest, keys, store
+from pitchlake.sources import documents as docs
 
 EVENT = "event_id long, event_type string, user_id long, value double"
 # Landed files are cut into pieces of this size, so that even the small tables have many.
@@ -122,3 +125,46 @@ faults as (
   where run_id not in (select c_custkey from customer) group by run_id)
 select 'raw_source_records' as table_name, fault, key_columns, key, occurrences from faults""",
 }
+
+
+# --- Payloads ----------------------------------------------------------------------------------------
+
+
+def rule_fields(spark, sf):
+    """Fields of every season's rules, nested, listed and missing, from the JSON column of the imported table."""
+    seeds = docs.load_seeds(spark, _written(imports.seed_documents(imports._matches(spark, sf)), "seeds"), multiline=False)
+    rules = plan.seed_tables(docs.flatten_seeds(seeds))["season_rule_versions"]
+    wanted = {
+        "win": ("$.points.win", "int"), "draw": ("$.points.draw", "int"), "first": ("$.ranking[0]", "string"), "legs": ("$.round_robin_legs", "int"),
+        "bonus": ("$.points.bonus.away", "int"), "not_a_number": ("$.ranking", "int"),
+    }
+    seen = payloads.fields(payloads.with_payload(rules, "rules"), wanted)
+    return seen.groupBy("version", *wanted).agg(F.count(F.lit(1)).alias("seasons"))
+
+
+def payload_shapes(spark, sf):
+    """Per type of event: payloads, those that are no JSON (every ninth is cut short here), and the sum of a nested field."""
+    events = ad.table(spark, sf, "events").select(
+        "event_type", F.when(F.col("event_id") % 9 == 0, '{"of": [').otherwise(
+            F.concat(F.lit('{"of": ['), F.col("event_id"), F.lit(', {"user": "'), F.col("user_id"), F.lit('"}], "props": '), F.col("props"), F.lit("}"))
+        ).alias("text"),
+    )
+    seen = payloads.fields(payloads.with_payload(events, "text"), {"event": ("$.of[0]", "long"), "user": ("$.of[1].user", "string"), "none": ("$.of[2].x", "long")})
+    shapes = payloads.shapes(seen, ["event_type"]).withColumn("is_object", F.col("shape").startswith("OBJECT<of: ARRAY<VARIANT>")).drop("shape")
+    sums = seen.groupBy("event_type").agg(
+        F.sum("event").alias("events"), F.sum(F.col("user").cast("long")).alias("users"), F.count("none").alias("nones"), F.min("payload_sha256").alias("least_hash")
+    )
+    return shapes.join(sums, "event_type")
+
+
+QUERIES |= {f.__name__: f for f in (rule_fields, payload_shapes)}
+SQL |= {
+    "rule_fields": f"""{ad.ctes("matches")}
+select 1 as version, 3 as win, 1 as draw, 'points' as first, 2 as legs, null::int as bonus, null::int as not_a_number, count(*) as seasons
+from (select distinct competition_key, year(kickoff_at) from matches)""",
+    "payload_shapes": """
+with t as (select *, case when event_id % 9 = 0 then '{"of": [' else '{"of": [' || event_id || ', {"user": "' || user_id || '"}], "props": ' || props || '}' end as text,
+  event_id % 9 <> 0 as whole from events)
+select event_type, count(*) as rows, count(*) filter (not whole) as without, true as is_object, sum(event_id) filter (whole)::bigint as events,
+  sum(user_id) filter (whole)::bigint as users, 0::bigint as nones, min(sha256(text)) as least_hash from t group by event_type""",
+}

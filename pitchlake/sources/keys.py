@@ -95,7 +95,8 @@ def key_faults(store, tables: Mapping[str, DataFrame]) -> DataFrame:
     runs = runs_that_may_hold(asked, held)
     known = spark.createDataFrame([], "role string, key string")
     for role, (table, columns) in ROLES.items():
-        rows = store.read(table, [*runs.get(role, []), *unmarked])
+        near = [*runs.get(role, []), *unmarked]
+        rows = store.read(table, near) if near else None
         if rows is not None and set(columns) <= set(rows.columns):
             known = known.unionByName(rows.select(F.lit(role).alias("role"), _key(columns).alias("key")).where("key is not null"))
     counted = asked.groupBy("table_name", "kind", "key_columns", "role", "key").agg(F.count(F.lit(1)).alias("occurrences"))
