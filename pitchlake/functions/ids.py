@@ -34,7 +34,7 @@ def _part(value: Column, what: str) -> Column:
     cleaned = F.lower(strip(value))
     return F.when(
         F.coalesce(F.length(cleaned), F.lit(0)) == 0,
-        F.raise_error(F.lit(f"canonical id {what} cannot be empty")).cast("string"),
+        F.raise_error(F.lit(f"no id without a {what}: it is null or blank")).cast("string"),
     ).otherwise(cleaned)
 
 
@@ -45,7 +45,7 @@ def canonical_id(kind: str | Column, *parts: Column, namespace: uuid.UUID = NAME
     """
     if isinstance(kind, str):
         if not kind.strip():
-            raise ValueError("canonical id kind cannot be empty")
+            raise ValueError(f"no id without a kind: {kind!r} is blank")
         kind_text = F.lit(kind.strip().lower())
     else:
         kind_text = _part(kind, "kind")

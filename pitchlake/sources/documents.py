@@ -218,10 +218,10 @@ def load_fixture_streams(spark: SparkSession, path: str, seeds: DataFrame, **opt
     observations = observation_instants(raw)
     _require(timeline_faults(observations), "fixture stream")
     if not season_lookup(seeds, streams).isEmpty():
-        raise DocumentError("fixture stream names an unknown or duplicate season, or another competition")
+        raise DocumentError("a stream's season is not found exactly once among the seeds of its competition")
     strangers = non_participants(observations, flatten_seeds(seeds)["participants"]).limit(5).collect()
     if strangers:
-        raise DocumentError(f"fixture references non-participant clubs: {[r['club_key'] for r in strangers]}")
+        raise DocumentError(f"clubs that do not take part in the season they play in: {[r['club_key'] for r in strangers]}")
     return observations
 
 
