@@ -12,6 +12,7 @@ from pitchlake.operators import evaluation as ev
 from pitchlake.operators import league
 from pitchlake.plans import backtest as bt
 from pitchlake.plans import elo
+from pitchlake.plans import goal_ratings as gr
 from pitchlake.plans import models as m
 from pitchlake.sources import adapters as ad
 
@@ -51,6 +52,19 @@ def elo_walk_forward(spark, sf):
     return rounded(ev.aggregate_metrics(_walk(spark, sf, [m.EloModel()]), BY, score_loss=False))
 
 
+def goal_ratings(spark, sf):
+    """Attack and defence of every club after its last result."""
+    history = gr.goal_rating_history(_matches(spark, sf), [m.GoalRatingModel()])
+    last = history.groupBy("competition_key", "club_id").agg(
+        F.max_by("ratings", "_seq").alias("r"), F.count("*").alias("played")
+    )
+    return rounded(last.select("competition_key", "club_id", F.get("r", F.lit(0)).alias("attack"), F.get("r", F.lit(1)).alias("defence"), "played"))
+
+
+def goal_ratings_walk_forward(spark, sf):
+    return rounded(ev.aggregate_metrics(_walk(spark, sf, [m.GoalRatingModel()]), BY))
+
+
 def elo_final_ratings(spark, sf):
     history = elo.rating_history(_matches(spark, sf), [m.EloModel()])
     last = history.groupBy("competition_key", "club_id").agg(
@@ -216,6 +230,22 @@ state as (select t.*, r.* exclude (match_id, lead_time_seconds) from tgt t
   join run r on t.match_id = r.match_id and t.lead_time_seconds = r.lead_time_seconds)"""
 
 
+_OUTCOMES = """cell as (select match_id, lead_time_seconds, config_id, home_goals, away_goals, lam, mu, rho, corrected, h, a,
+    exp(-lam) * pow(lam, h) / factorial(h::int)::double * exp(-mu) * pow(mu, a) / factorial(a::int)::double as p
+  from rate cross join (select unnest(range(0, 9)) as h) cross join (select unnest(range(0, 9)) as a)),
+norm as (select * replace (p / sum(p) over (partition by match_id, lead_time_seconds, config_id) as p) from cell),
+tau as (select * replace (case when corrected then greatest(p * case when h = 0 and a = 0 then 1 - lam * mu * rho
+    when h = 0 and a = 1 then 1 + lam * rho when h = 1 and a = 0 then 1 + mu * rho
+    when h = 1 and a = 1 then 1 - rho else 1 end, 1e-15) else p end as p) from norm),
+grid as (select * replace (p / sum(p) over (partition by match_id, lead_time_seconds, config_id) as p) from tau),
+outcome as (select match_id, lead_time_seconds, config_id, sum(case when h > a then p else 0 end) as p_home,
+    sum(case when h = a then p else 0 end) as p_draw, sum(case when h < a then p else 0 end) as p_away,
+    coalesce(max(case when h = home_goals and a = away_goals then p end), 0) as p_score
+  from grid group by all),
+fc as (select r.*, o.p_home, o.p_draw, o.p_away, o.p_score from rate r join outcome o
+  on r.match_id = o.match_id and r.lead_time_seconds = o.lead_time_seconds and r.config_id = o.config_id)"""
+
+
 def _forecasts(models, leads=(DAY,), min_train=50) -> str:
     rows = ", ".join(
         f"('{x.key}', '{m.config_id(x)}', {x.smoothing_matches}::double, {getattr(x, 'rho', 0.0)}::double, "
@@ -230,20 +260,7 @@ rate as (select *,
     least(greatest(mh * (((hf + k * mh) / (hn + k)) / mh) * (((aag + k * mh) / (an + k)) / mh), 0.05), 5.0) as lam,
     least(greatest(ma * (((af + k * ma) / (an + k)) / ma) * (((hag + k * ma) / (hn + k)) / ma), 0.05), 5.0) as mu
   from mean),
-cell as (select match_id, lead_time_seconds, config_id, home_goals, away_goals, lam, mu, rho, corrected, h, a,
-    exp(-lam) * pow(lam, h) / factorial(h::int)::double * exp(-mu) * pow(mu, a) / factorial(a::int)::double as p
-  from rate cross join (select unnest(range(0, 9)) as h) cross join (select unnest(range(0, 9)) as a)),
-norm as (select * replace (p / sum(p) over (partition by match_id, lead_time_seconds, config_id) as p) from cell),
-tau as (select * replace (case when corrected then greatest(p * case when h = 0 and a = 0 then 1 - lam * mu * rho
-    when h = 0 and a = 1 then 1 + lam * rho when h = 1 and a = 0 then 1 + mu * rho
-    when h = 1 and a = 1 then 1 - rho else 1 end, 1e-15) else p end as p) from norm),
-grid as (select * replace (p / sum(p) over (partition by match_id, lead_time_seconds, config_id) as p) from tau),
-outcome as (select match_id, lead_time_seconds, config_id, sum(case when h > a then p else 0 end) as p_home,
-    sum(case when h = a then p else 0 end) as p_draw, sum(case when h < a then p else 0 end) as p_away,
-    coalesce(max(case when h = home_goals and a = away_goals then p end), 0) as p_score
-  from grid group by all),
-fc as (select r.*, o.p_home, o.p_draw, o.p_away, o.p_score from rate r join outcome o
-  on r.match_id = o.match_id and r.lead_time_seconds = o.lead_time_seconds and r.config_id = o.config_id)"""
+{_OUTCOMES}"""
 
 
 _SCORED = """
@@ -301,6 +318,21 @@ elo(competition_key, rn, r) as (
     from elo e join ord o on o.competition_key = e.competition_key and o.rn = e.rn + 1) q)"""
 
 
+# Entries 1 to 20 are the clubs' attack, 21 to 40 their defence.
+_RATED = f"""with recursive {ad.ctes("matches")[5:]},
+ord as (select *, row_number() over (partition by competition_key order by result_observed_at, kickoff_at,
+    cast(match_id as varchar)) as rn from matches),
+rated(competition_key, rn, r) as (
+  select distinct competition_key, cast(0 as bigint), list_transform(range(40), lambda i: 0.0::double) from matches
+  union all
+  select competition_key, rn, list_transform(range(40), lambda i: case when i = hc then r[i + 1] + up when i = ac then r[i + 1] + up_away
+      when i = hc + 20 then r[i + 1] - up_away when i = ac + 20 then r[i + 1] - up else r[i + 1] end)
+  from (select e.competition_key, o.rn, e.r, o.home_club_id as hc, o.away_club_id as ac,
+      0.03::double * (o.home_goals - least(greatest(1.5::double * exp(e.r[o.home_club_id + 1] - e.r[o.away_club_id + 21]), 0.05), 5.0)) as up,
+      0.03::double * (o.away_goals - least(greatest(1.2::double * exp(e.r[o.away_club_id + 1] - e.r[o.home_club_id + 21]), 0.05), 5.0)) as up_away
+    from rated e join ord o on o.competition_key = e.competition_key and o.rn = e.rn + 1) q)"""
+
+
 def _standings(head_to_head: bool) -> str:
     base = f"""{ad.ctes("matches")},
 res as (select *, cast(year(kickoff_at) as int) as season from matches),
@@ -452,6 +484,20 @@ fin as (select competition_key, max_by(r, rn) as r from elo group by all),
 pl as (select competition_key, club_id, count(*) as played from (select competition_key, home_club_id as club_id from matches
   union all select competition_key, away_club_id from matches) group by all)
 select competition_key, club_id, round(r[club_id + 1], 6) as rating, played from fin join pl using (competition_key)""",
+    "goal_ratings": f"""{_RATED},
+fin as (select competition_key, max_by(r, rn) as r from rated group by all),
+pl as (select competition_key, club_id, count(*) as played from (select competition_key, home_club_id as club_id from matches
+  union all select competition_key, away_club_id from matches) group by all)
+select competition_key, club_id, round(r[club_id + 1], 6) as attack, round(r[club_id + 21], 6) as defence, played
+from fin join pl using (competition_key)""",
+    "goal_ratings_walk_forward": f"""{_RATED},{_targets([DAY])},
+cnt as (select t.*, (select count(*) from ord o where o.competition_key = t.competition_key
+    and o.result_observed_at <= t.cutoff) as n from tgt t),
+rate as (select c.*, '-' as config_id, 0.0::double as rho, false as corrected,
+    least(greatest(1.5::double * exp(e.r[c.home_club_id + 1] - e.r[c.away_club_id + 21]), 0.05), 5.0) as lam,
+    least(greatest(1.2::double * exp(e.r[c.away_club_id + 1] - e.r[c.home_club_id + 21]), 0.05), 5.0) as mu
+  from cnt c join rated e on e.competition_key = c.competition_key and e.rn = c.n where c.n >= 50),
+{_OUTCOMES},{_SCORED},{_bins('competition_key')}{_metrics('competition_key')}""",
     "points_baseline": f"""{ad.ctes("matches")},{_targets([DAY])},
 pts as (select *, case when home_goals > away_goals then 3 when home_goals = away_goals then 1 else 0 end as hp,
     case when home_goals < away_goals then 3 when home_goals = away_goals then 1 else 0 end as ap,
@@ -488,7 +534,8 @@ from h group by all""",
 QUERIES = {
     f.__name__: f
     for f in (
-        poisson_walk_forward, dixon_coles_walk_forward, elo_walk_forward, elo_final_ratings, model_grid_report,
+        poisson_walk_forward, dixon_coles_walk_forward, elo_walk_forward, elo_final_ratings, goal_ratings,
+        goal_ratings_walk_forward, model_grid_report,
         poisson_predictions, score_grid_means, training_windows, market_alignment, model_against_market,
         market_coverage, calibration_bins, calibration_error, calibration_rollup, paired_delta, paired_bootstrap,
         backtest_order, leakage_check, points_baseline, league_standings, league_head_to_head, data_snapshot,

@@ -1,91 +1,55 @@
 """Elo ratings over any history size, and forecasts from the rating known at each cutoff.
 
-The recurrence is sequential within a competition and independent between competitions.  The ordered history is cut into
-ranges of bounded size; the part of a competition in one range is a segment.  Round *k* folds the *k*-th segment of every
-competition that has one, starting from the ratings the segment before ended with.  Every match is folded once, no task holds more
-than a segment, and the ratings are those of the sequential fold, bit for bit, wherever the cuts fall.  A competition that
-holds a third of all matches takes as many rounds as it has segments; the others are done after their own.
+The recurrence is sequential within a competition and independent between competitions: a segmented fold (``operators.folds``).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from math import ceil
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.functions import rates
+from pitchlake.operators.folds import SEGMENT_ROWS, Fold, segmented_fold
 from pitchlake.operators.temporal import prefix_state
 from pitchlake.plans import models as m
-from pitchlake.session import ensure_checkpoint_dir
-
-SEGMENT_ROWS = 1_000_000
 
 _C, _H, _A = m.COMPETITION, "home_club_id", "away_club_id"
+# The order in which results count: when they were observed, then kickoff, then the text of the id.
+RESULT_ORDER = ("result_observed_at", "kickoff_at", "_id")
 
 
-def ordered_segments(matches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, int]:
-    """Results with ``_seq`` (rating order) and ``_round`` (segment of its competition), and the number of rounds.
-
-    Order: competition, result observed, kickoff, id as text.  With several ranges the rows are checkpointed, so that a
-    recomputed task cannot cut them differently, and stored by round, so that a round reads its own rows only.
-    """
-    rows = matches.select(
-        _C,
-        _H,
-        _A,
-        "result_observed_at",
-        rates.elo_actual_home(F.col("home_goals"), F.col("away_goals")).alias("_actual"),
-        "kickoff_at",
-        F.col("match_id").cast("string").alias("_id"),
+def results_in_order(matches: DataFrame, *columns) -> DataFrame:
+    """What a rating reads of a match: competition, clubs, the order's columns and ``columns``."""
+    return matches.select(
+        _C, _H, _A, "result_observed_at", "kickoff_at", F.col("match_id").cast("string").alias("_id"), *columns
     )
-    ranges = max(1, ceil(rows.count() / segment_rows))
-    order = [_C, "result_observed_at", "kickoff_at", "_id"]
-    rows = (
-        rows.repartitionByRange(ranges, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_seq", F.monotonically_increasing_id())
-        .drop("kickoff_at", "_id")
-    )
-    if ranges == 1:
-        return rows.withColumn("_round", F.lit(0)), 1
-    ensure_checkpoint_dir(matches.sparkSession)
-    rows = rows.checkpoint().withColumn("_range", F.shiftright("_seq", 33).cast("int"))
-    spans = rows.groupBy(F.col(_C).alias("_of")).agg(F.min("_range").alias("_first"), F.max("_range").alias("_last"))
-    rounds = spans.agg(F.max(F.col("_last") - F.col("_first"))).first()[0] + 1
-    rows = rows.join(spans, F.col(_C).eqNullSafe(F.col("_of"))).withColumn("_round", F.col("_range") - F.col("_first"))
-    rows = rows.withColumn("_more", F.col("_range") < F.col("_last")).drop("_of", "_range", "_first", "_last")
-    path = _folder(matches, "elo-segments")
-    rows.repartition("_round", _C).write.partitionBy("_round").parquet(path)
-    return matches.sparkSession.read.schema(rows.schema).parquet(path), rounds
-
-
-def _folder(df: DataFrame, label: str) -> str:
-    """A new folder name beside the checkpoints."""
-    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
-
-
-def _fold(rows: pd.DataFrame, start: dict, configs: Sequence[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Play one segment, its rows in order: ratings of both clubs after each match, a column per model."""
-    homes, aways, actual = rows[_H].tolist(), rows[_A].tolist(), rows["_actual"].tolist()
-    after_home, after_away = np.empty((len(rows), len(configs))), np.empty((len(rows), len(configs)))
-    for g, config in enumerate(configs):
-        initial, k, advantage = config["initial_rating"], config["k_factor"], config["home_advantage"]
-        ratings = {club: float(handed[g]) for club, handed in start.items()}
+
+
+def elo_fold(configs: Sequence[dict]) -> Fold:
+    """Ratings of both clubs, an array entry per model, from ``_actual``, the home side's share of the result."""
+
+    def play(rows: pd.DataFrame, start: dict) -> list[list]:
+        homes, aways, actual = rows[_H].tolist(), rows[_A].tolist(), rows["_actual"].tolist()
         played_home, played_away = [], []
-        for home, away, result in zip(homes, aways, actual):
-            home_rating, away_rating = ratings.get(home, initial), ratings.get(away, initial)
-            expected = 1.0 / (1.0 + 10.0 ** (-((home_rating + advantage) - away_rating) / 400.0))
-            delta = k * (result - expected)
-            ratings[home], ratings[away] = home_rating + delta, away_rating - delta
-            played_home.append(ratings[home])
-            played_away.append(ratings[away])
-        after_home[:, g], after_away[:, g] = played_home, played_away
-    return after_home, after_away
+        for g, config in enumerate(configs):
+            initial, k, advantage = config["initial_rating"], config["k_factor"], config["home_advantage"]
+            ratings = {club: float(handed[g]) for club, handed in start.items()}
+            after_home, after_away = [], []
+            for home, away, result in zip(homes, aways, actual, strict=True):
+                home_rating, away_rating = ratings.get(home, initial), ratings.get(away, initial)
+                expected = 1.0 / (1.0 + 10.0 ** (-((home_rating + advantage) - away_rating) / 400.0))
+                delta = k * (result - expected)
+                ratings[home], ratings[away] = home_rating + delta, away_rating - delta
+                after_home.append(ratings[home])
+                after_away.append(ratings[away])
+            played_home.append(after_home)
+            played_away.append(after_away)
+        return [list(zip(*played_home, strict=True)), list(zip(*played_away, strict=True))]
+
+    return Fold((_H, _A), "array<double>", play)
 
 
 def rating_history(
@@ -95,59 +59,23 @@ def rating_history(
 
     Columns: competition, ``club_id``, ``result_observed_at``, ``_seq`` (rating order) and ``ratings``.
     """
-    configs = [x.config() for x in models]
-    rows, rounds = ordered_segments(matches, segment_rows)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    columns = [_C, "club_id", "result_observed_at", "_seq", "ratings"]
-    club = f"{_C} {types[_C]}, club_id {types[_H]}"
-    schema = f"{club}, result_observed_at {types['result_observed_at']}, _seq bigint, ratings array<double>"
-
-    def played(segment: pd.DataFrame, start: dict) -> pd.DataFrame:
-        segment = segment.sort_values("_seq", kind="stable")
-        sides = [
-            segment[[_C, side, "result_observed_at", "_seq"]].set_axis(columns[:4], axis=1).assign(ratings=list(after))
-            for side, after in zip((_H, _A), _fold(segment, start, configs))
-        ]
-        return pd.concat(sides, ignore_index=True)
-
-    if rounds == 1:
-        return rows.groupBy(_C).applyInPandas(lambda segment: played(segment, {}), schema)
-
-    def resumed(segment: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        return played(segment, dict(zip(state["club_id"].tolist(), state["ratings"].tolist())))
-
-    spark, path = matches.sparkSession, _folder(matches, "elo-history")
-    state = spark.createDataFrame([], f"{club}, ratings array<double>, _seq bigint")
-    for k in range(rounds):
-        segments = rows.where(F.col("_round") == k)
-        history = segments.groupBy(_C).cogroup(state.groupBy(_C)).applyInPandas(resumed, schema)
-        history.write.parquet(f"{path}/_k={k}")
-        if k + 1 < rounds:
-            done = spark.read.schema(schema).parquet(f"{path}/_k={k}")
-            going_on = segments.where("_more").select(F.col(_C).alias("_of")).distinct()
-            # A club's rating after its latest match so far, in the competitions of the next round.
-            state = (
-                done.select(*state.columns)
-                .unionByName(state)
-                .join(going_on, F.col(_C).eqNullSafe(F.col("_of")), "left_semi")
-                .groupBy(_C, "club_id")
-                .agg(F.max_by("ratings", "_seq").alias("ratings"), F.max("_seq").alias("_seq"))
-                .checkpoint()
-            )
-    return spark.read.schema(schema).parquet(*[f"{path}/_k={k}" for k in range(rounds)])
+    rows = results_in_order(matches, rates.elo_actual_home(F.col("home_goals"), F.col("away_goals")).alias("_actual"))
+    fold = elo_fold([x.config() for x in models])
+    history = segmented_fold(
+        rows, fold, [_C], RESULT_ORDER, entry="club_id", keep=["result_observed_at"], segment_rows=segment_rows
+    )
+    return history.withColumnRenamed("value", "ratings")
 
 
-def with_elo_state(
-    matches: DataFrame, targets: DataFrame, models: Sequence[m.EloModel], segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
-    """Targets with both clubs' rating arrays known at the cutoff (null for an unseen club)."""
-    history = rating_history(matches, models, segment_rows).withColumnRenamed("result_observed_at", m.CUTOFF)
+def with_club_values(history: DataFrame, targets: DataFrame, value: str) -> DataFrame:
+    """Targets with ``_home_<value>`` and ``_away_<value>``, each club's last value known at the cutoff (null for an unseen club)."""
+    history = history.withColumnRenamed("result_observed_at", m.CUTOFF)
     probes = targets.select(_C, m.CUTOFF, F.explode(F.array(_H, _A)).alias("club_id"))
-    last = F.struct(F.col(m.CUTOFF).alias("at"), F.col("_seq").alias("seq"), F.col("ratings").alias("ratings"))
+    last = F.struct(F.col(m.CUTOFF).alias("at"), F.col("_seq").alias("seq"), F.col(value).alias("value"))
     state = prefix_state(history, probes, [_C, "club_id"], m.CUTOFF, {"_last": ("max", last)})
     for side in ("home", "away"):
         found = state.select(
-            _C, F.col("club_id").alias(f"{side}_club_id"), m.CUTOFF, F.col("_last.ratings").alias(f"_{side}_ratings")
+            _C, F.col("club_id").alias(f"{side}_club_id"), m.CUTOFF, F.col("_last.value").alias(f"_{side}_{value}")
         )
         targets = targets.join(found, [_C, f"{side}_club_id", m.CUTOFF])
     return targets
@@ -172,7 +100,7 @@ def elo_forecasts(
             for i, x in enumerate(models)
         ]
     )
-    rows = with_elo_state(matches, targets, models, segment_rows)
+    rows = with_club_values(rating_history(matches, models, segment_rows), targets, "ratings")
     rows = rows.select("*", F.inline(grid)).withColumns(
         {
             f"_{side}": F.coalesce(F.get(f"_{side}_ratings", F.col("_i")), F.col("_initial"))

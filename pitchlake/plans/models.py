@@ -129,6 +129,33 @@ class EloModel:
         return elo_forecasts(matches, targets, [self])
 
 
+@dataclass(frozen=True)
+class GoalRatingModel:
+    """Attack and defence of every club updated after each result; see ``plans.goal_ratings``."""
+
+    base_home_goals: float = 1.5
+    base_away_goals: float = 1.2
+    learning_rate: float = 0.03
+    max_goals: int = 8
+    min_lambda: float = 0.05
+    max_lambda: float = 5.0
+    key = "goal_ratings"
+
+    def __post_init__(self) -> None:
+        require_at_least(self, {"learning_rate": 0.0, "max_goals": 3, "min_lambda": 0.0})
+        for name in ("base_home_goals", "base_away_goals"):
+            if not self.min_lambda <= getattr(self, name) <= self.max_lambda:
+                raise ValueError(f"{name} is {getattr(self, name)}, not between {self.min_lambda} and {self.max_lambda}")
+
+    def config(self) -> dict:
+        return asdict(self)
+
+    def forecast(self, matches: DataFrame, targets: DataFrame) -> DataFrame:
+        from pitchlake.plans.goal_ratings import goal_rating_forecasts
+
+        return goal_rating_forecasts(matches, targets, [self])
+
+
 @dataclass(frozen=True)
 class FixedModel:
     """The same three probabilities for every fixture: the floor any model must beat."""

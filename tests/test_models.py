@@ -1,11 +1,13 @@
-from math import log
+from math import exp, log
 
 import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.functions import rates, scores
+from pitchlake.operators import folds
 from pitchlake.plans import backtest as bt
 from pitchlake.plans import elo
+from pitchlake.plans import goal_ratings as gr
 from pitchlake.plans import models as m
 
 from . import brute
@@ -85,11 +87,83 @@ def test_elo_ratings_do_not_depend_on_the_cuts(matches):
     assert ratings(60) == whole and ratings(13) == whole and len(whole) == 2 * matches.count()
 
 
+def played_one_by_one(history, model):
+    """Attack and defence of the clubs of one competition after its results, in order of observation."""
+    ratings = {}
+    for r in sorted(history, key=lambda r: (r["result_observed_at"], r["kickoff_at"], str(r["match_id"]))):
+        home, away = ratings.get(r["home_club_id"], (0.0, 0.0)), ratings.get(r["away_club_id"], (0.0, 0.0))
+        lam = min(max(model.base_home_goals * exp(home[0] - away[1]), model.min_lambda), model.max_lambda)
+        mu = min(max(model.base_away_goals * exp(away[0] - home[1]), model.min_lambda), model.max_lambda)
+        more, other = model.learning_rate * (r["home_goals"] - lam), model.learning_rate * (r["away_goals"] - mu)
+        ratings[r["home_club_id"]] = (home[0] + more, home[1] - other)
+        ratings[r["away_club_id"]] = (away[0] + other, away[1] - more)
+    return ratings
+
+
+@pytest.mark.parametrize("segment_rows", [1_000_000, 45])
+def test_goal_ratings_equal_a_sequential_refit(matches, history, segment_rows):
+    models = [m.GoalRatingModel(), m.GoalRatingModel(learning_rate=0.2, base_home_goals=1.0)]
+    rows = gr.goal_rating_forecasts(matches, bt.make_targets(matches, [LEAD]), models, segment_rows).collect()
+    found = {(r["match_id"], r["config_id"]): (r["expected_home_goals"], r["expected_away_goals"]) for r in rows}
+    assert len(rows) == 2 * len(history)
+    for target in history:
+        _, training = brute.training_for(history, target, LEAD)
+        for model in models:
+            ratings = played_one_by_one(training, model)
+            home, away = ratings.get(target["home_club_id"], (0.0, 0.0)), ratings.get(target["away_club_id"], (0.0, 0.0))
+            lam, mu = model.base_home_goals * exp(home[0] - away[1]), model.base_away_goals * exp(away[0] - home[1])
+            expected = (min(max(lam, 0.05), 5.0), min(max(mu, 0.05), 5.0))
+            assert found[target["match_id"], m.config_id(model)] == pytest.approx(expected, abs=1e-12)
+
+
+def test_goal_ratings_do_not_depend_on_the_cuts(matches):
+    def ratings(segment_rows):
+        rows = gr.goal_rating_history(matches, [m.GoalRatingModel()], segment_rows).drop("_seq").collect()
+        return sorted((r["competition_key"], r["club_id"], r["result_observed_at"], *r["ratings"]) for r in rows)
+
+    whole = ratings(1_000_000)
+    assert ratings(60) == whole and ratings(13) == whole and len(whole) == 2 * matches.count()
+
+
+def counting(rows, state):
+    """A running count per entry, told as text."""
+    out, counts = [], {k: int(v) for k, v in state.items()}
+    for who in rows["who"].tolist():
+        counts[who] = counts.get(who, 0) + 1
+        out.append(str(counts[who]))
+    return [out]
+
+
+@pytest.mark.parametrize("segment_rows", [1000, 7])
+def test_fold_with_null_keys_two_key_columns_and_a_hot_key(spark, segment_rows):
+    rows = [(None, "x", i, f"w{i % 3}") for i in range(5)] + [(1, None, i, "w0") for i in range(4)] + [(2, "x", i, f"w{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b string, at int, who string")
+    fold = folds.Fold(("who",), "string", counting)
+    out = folds.segmented_fold(df, fold, ["a", "b"], ["at"], keep=["at"], segment_rows=segment_rows).collect()
+    seen, expected = {}, []
+    for a, b, at, who in rows:
+        seen[a, b, who] = seen.get((a, b, who), 0) + 1
+        expected.append((a, b, who, at, str(seen[a, b, who])))
+    assert sorted(map(str, expected)) == sorted(str((r["a"], r["b"], r["entry"], r["at"], r["value"])) for r in out)
+
+
+def test_fold_of_no_rows(spark):
+    df = spark.createDataFrame([], "a int, at int, who string")
+    assert folds.segmented_fold(df, folds.Fold(("who",), "string", counting), ["a"], ["at"]).collect() == []
+
+
+def test_goal_rating_settings_name_their_limits():
+    with pytest.raises(ValueError, match="learning_rate is -1"):
+        m.GoalRatingModel(learning_rate=-1)
+    with pytest.raises(ValueError, match="base_home_goals is 9"):
+        m.GoalRatingModel(base_home_goals=9)
+
+
 def test_mixed_grid_keeps_one_row_per_run_and_target(matches, history):
-    grid = [m.PoissonModel(), m.PoissonModel(max_goals=4), m.DixonColesModel(), m.EloModel(), m.FixedModel(0.4, 0.3, 0.3)]
+    grid = [m.PoissonModel(), m.PoissonModel(max_goals=4), m.DixonColesModel(), m.EloModel(), m.FixedModel(0.4, 0.3, 0.3), m.GoalRatingModel()]
     rows = bt.walk_forward(matches, grid, [LEAD, 3600], min_train_matches=5)
     counts = rows.groupBy("config_id", "lead_time_seconds").agg(F.count("*").alias("n")).collect()
-    assert len(counts) == 10
+    assert len(counts) == 12
     day = len(list(expected_targets(history, 5)))
     assert {r["n"] for r in counts if r["lead_time_seconds"] == LEAD} == {day}
     assert bt.leakage(rows).isEmpty()
