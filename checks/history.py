@@ -21,6 +21,8 @@ from pitchlake.sources import documents as docs
 from pitchlake.sources import ingest
 
 CUTOFF = "1998-06-01 00:00:00"
+# Instants in a measured bucket, so few that even the small tables have several.
+BUCKET_ROWS = 2000
 
 
 def ntz(text: str):
@@ -80,6 +82,17 @@ def event_state(spark, sf):
     )
 
 
+def event_prefixes(spark, sf):
+    """What was known of a kind of event at each of its instants; few kinds with very many instants, so buckets are measured."""
+    events = ad.table(spark, sf, "events").select("event_type", "ts", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    measures = {
+        "events": ("sum", F.lit(1)), "cents": ("sum", F.col("cents")), "largest": ("max", F.col("cents")),
+        "last_user": ("max", F.struct(F.col("ts").alias("at"), F.col("user_id").alias("user_id"))),
+    }
+    state = tp.prefix_state(events, events, ["event_type"], "ts", measures, bucket_rows=BUCKET_ROWS)
+    return state.select("event_type", "ts", "events", "cents", "largest", F.col("last_user.user_id").alias("last_user"))
+
+
 def match_heads(spark, sf):
     revisions = _revisions(spark, sf).select(
         F.col("fixture_key").alias("match_id"), F.col("revision").alias("revision_number"),
@@ -683,6 +696,11 @@ select entity_id, event_type, event_id, valid_from, observed_at from (select *,
     partition by entity_id, event_type order by valid_from desc, observed_at desc, event_id desc) as rn from domain_events
   where observed_at <= timestamp '2024-01-06 12:00:00' and valid_from <= timestamp '2024-01-05 00:00:00'
     and (valid_until is null or valid_until > timestamp '2024-01-05 00:00:00')) x where rn = 1""",
+    "event_prefixes": """
+with e as (select event_type, ts, count(*) as n, sum(cast(round(value * 100) as bigint)) as c, max(cast(round(value * 100) as bigint)) as m,
+    max(user_id) as u from events where event_type is not null and ts is not null group by all)
+select event_type, ts, cast(sum(n) over w as bigint) as events, cast(coalesce(sum(c) over w, 0) as bigint) as cents, max(m) over w as largest, u as last_user
+from e window w as (partition by event_type order by ts)""",
     "match_heads": f"""{ad.ctes("matches", "revisions")}
 select m.match_id as id, home_club_id, away_club_id, r.revision as revision_number, r.observed_at as kickoff_at, r.status,
   r.home_score, r.away_score
@@ -820,7 +838,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_as_of, latest_revision, fixture_timeline, timeline_faults, historical_matches, first_final_matches,
-        event_state, match_heads, max_revision, revision_rule_breaches, match_rule_breaches, quarantined_matches,
+        event_state, event_prefixes, match_heads, max_revision, revision_rule_breaches, match_rule_breaches, quarantined_matches,
         probability_breaches, event_rule_breaches, duplicate_keys, orphaned_keys, source_rule_breaches,
         source_registry, canonical_ids, payload_hashes, map_payload_hashes, normalized_names, stamped_records,
         ingest_runs, accepted_records, run_health, import_summary, import_conflicts, evidence_coverage,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,21 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
 
 
+def faults(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
+    """Keys that break a rule or occur more than once, from one aggregate: ``rule_ids`` and ``occurrences``.
+
+    Null keys make one group, whose repeats count too.  At most 63 rules, which travel as one number.
+    """
+    if len(rules) > 63:
+        raise ValueError(f"{len(rules)} rules, above 63")
+    bits = [F.when(r.breached(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
+    rows = df.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long")).alias("_broken"))
+    found = rows.groupBy(*keys).agg(F.bit_or("_broken").alias("_broken"), F.count(F.lit(1)).alias("occurrences"))
+    broken = [F.when(F.col("_broken").bitwiseAND(F.lit(1 << i)) != 0, F.lit(r.rule_id)) for i, r in enumerate(rules)]
+    names = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+    return found.filter("_broken <> 0 or occurrences > 1").select(*keys, names.alias("rule_ids"), "occurrences")
+
+
 def orphans(child: DataFrame, foreign: Sequence[str], parent: DataFrame, primary: Sequence[str]) -> DataFrame:
     """Distinct foreign keys without a parent row; keys with a null part are exempt."""
     wanted = child.select(*foreign).dropna().distinct()

@@ -3,19 +3,22 @@
 None of them gathers a key's rows in one task.  Latest-row lookups are map-side combining aggregates;
 running state is built in two steps, within a calendar bucket and across buckets, on rows that were first
 collapsed to one per distinct instant.  The rows a window sorts together are therefore bounded by the
-calendar (instants in a bucket, buckets in the history), however many source rows share the key.
+calendar (instants in a bucket, buckets in the history), however many source rows share the key; measured buckets
+bound them where a key has very many instants a month.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import ceil
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions.timing import is_valid_at
+from pitchlake.session import ensure_checkpoint_dir
 
 # --- Revision history --------------------------------------------------------------------------------
 
@@ -155,6 +158,21 @@ def _running(instants: DataFrame, keys: list[str], at: str, merges: Mapping[str,
     return joined.withColumns(combine).drop(*[f"_c_{m}" for m in merges])
 
 
+def measured_buckets(instants: DataFrame, keys: Sequence[str], at: str, bucket_rows: int) -> DataFrame:
+    """The rows with ``_bucket``, a number that grows with ``at`` within a key and that about ``bucket_rows`` rows share.
+
+    The cuts are those of a range partitioning by key and instant, which samples the rows: a hot key is cut as often as its rows ask for, small
+    keys share a bucket number.  The rows are checkpointed, so that a recomputed task cannot cut them differently.
+    """
+    if bucket_rows < 1:
+        raise ValueError(f"bucket_rows is {bucket_rows}, below 1")
+    spark = instants.sparkSession
+    ensure_checkpoint_dir(spark)
+    instants = instants.checkpoint()
+    ranges = max(1, ceil(instants.count() / bucket_rows))
+    return instants.repartitionByRange(ranges, *keys, at).withColumn("_bucket", F.spark_partition_id()).checkpoint()
+
+
 def prefix_state(
     facts: DataFrame,
     probes: DataFrame,
@@ -162,6 +180,7 @@ def prefix_state(
     at: str,
     measures: Mapping[str, tuple[str, Column]],
     bucket_days: Sequence[int] = (32,),
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """What the facts up to and including each probe instant add up to.
 
@@ -171,8 +190,11 @@ def prefix_state(
     null key or time match nothing.
 
     ``bucket_days`` are the widths, in days and coarse to fine, of the calendar buckets the running merge is
-    split by; ``(32, 1)`` suits keys with many distinct instants a day.
-    Cost: one exchange of distinct instants, one within buckets, and small ones on bucket totals.
+    split by; ``(32, 1)`` suits keys with many distinct instants a day.  With ``bucket_rows`` the buckets are measured instead
+    (``measured_buckets``): about so many distinct instants each, wherever they lie, so that a key with a million instants in a
+    month, or in a second, is spread too.  The result is the same.
+    Cost: one exchange of distinct instants, one within buckets, and small ones on bucket totals; measured buckets are stored
+    once more, cut by ranges.
     """
     keys = list(keys)
     merges = {name: how for name, (how, _) in measures.items()}
@@ -181,6 +203,8 @@ def prefix_state(
     )
     probe_rows = probes.select(*keys, at, F.lit(True).alias("_probe"))
     rows = fact_rows.unionByName(probe_rows, allowMissingColumns=True)
+    if bucket_rows is not None:
+        bucket_days = ()
     buckets = [f"_bucket_{days}" for days in bucket_days]
     day = F.unix_date(F.col(at).cast("date"))
     rows = rows.withColumns({b: day - F.pmod(day, F.lit(days)) for b, days in zip(buckets, bucket_days)})
@@ -189,6 +213,8 @@ def prefix_state(
     instants = rows.groupBy(*keys, *buckets, at).agg(
         F.max("_probe").alias("_probe"), *[_MERGE[how](name).alias(name) for name, how in merges.items()]
     )
+    if bucket_rows is not None:
+        instants, buckets = measured_buckets(instants, keys, at, bucket_rows), ["_bucket"]
     state = _running(instants, keys, at, merges, buckets)
     return state.select(
         *keys, at, *[(F.coalesce(F.col(n), F.lit(0)) if how == "sum" else F.col(n)).alias(n) for n, how in merges.items()]

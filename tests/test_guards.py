@@ -34,6 +34,16 @@ def test_a_result_before_kickoff_never_trains(spark):
         bt.walk_forward(nameless, [m.PoissonModel()], [86400], min_train_matches=2)
 
 
+def test_faults_name_rules_and_repeats_at_once(spark):
+    rules = [q.at_least("a", 0), q.at_least("b", 0)]
+    rows = [("w", 1, 1), ("x", -1, 1), ("x", 1, -1), ("y", 1, None), ("z", 1, 1), ("z", 1, 1), (None, -1, -1)]
+    found = {r["k"]: (r["rule_ids"], r["occurrences"]) for r in q.faults(spark.createDataFrame(rows, "k string, a int, b int"), rules, ["k"]).collect()}
+    both = ["a_minimum", "b_minimum"]
+    assert found == {"x": (both, 2), "y": (["b_minimum"], 1), "z": ([], 2), None: (both, 1)}
+    assert q.faults(spark.createDataFrame([], "k string, a int, b int"), rules, ["k"]).isEmpty()
+    assert [r["k"] for r in q.faults(spark.createDataFrame(rows, "k string, a int, b int"), [], ["k"]).orderBy("k").collect()] == ["x", "z"]
+
+
 def test_an_ended_mapping_does_not_hide_one_in_force(spark):
     kinds = "source_id string, entity_type string, external_id string, canonical_entity_id string, valid_from timestamp, valid_until timestamp, observed_at timestamp"
     mapping = spark.createDataFrame(

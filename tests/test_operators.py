@@ -46,6 +46,31 @@ def test_prefix_state_includes_ties_at_the_probe(skewed, bucket_days):
         assert found[key, at] == (len(known), sum(v for _, v in known), max((t for t, _ in known), default=None))
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 20, 10_000])
+def test_prefix_state_over_measured_buckets_is_the_same(skewed, bucket_rows):
+    _, _, fact_df, probe_df = skewed
+    measures = {"n": ("sum", F.lit(1)), "s": ("sum", F.col("v")), "last": ("max", F.col("at"))}
+    calendar = tp.prefix_state(fact_df, probe_df, ["k"], "at", measures).collect()
+    measured = tp.prefix_state(fact_df, probe_df, ["k"], "at", measures, bucket_rows=bucket_rows).collect()
+    assert sorted(map(str, measured)) == sorted(map(str, calendar))
+    empty = tp.prefix_state(fact_df.limit(0), probe_df.limit(0), ["k"], "at", measures, bucket_rows=bucket_rows)
+    assert empty.collect() == []
+
+
+def test_a_million_instants_of_one_key_in_a_month_are_spread(spark):
+    hot = spark.range(1_000_000).select(
+        F.lit("league").alias("k"), (F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 1000)).alias("at")
+    )
+    rare = spark.createDataFrame([("other", T0 + timedelta(days=i)) for i in range(50)], "k string, at timestamp_ntz")
+    buckets = tp.measured_buckets(hot.unionByName(rare), ["k"], "at", 50_000)
+    sizes = buckets.groupBy("k", "_bucket").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).collect()
+    league = sorted((r["_bucket"], r["low"], r["high"], r["n"]) for r in sizes if r["k"] == "league")
+    assert sum(r[3] for r in league) == 1_000_000 and max(r[3] for r in league) <= 100_000
+    assert all(a[2] < b[1] for a, b in zip(league, league[1:]))  # buckets follow the clock
+    with pytest.raises(ValueError, match="bucket_rows is 0"):
+        tp.measured_buckets(hot, ["k"], "at", 0)
+
+
 def test_as_of_joins_agree_with_a_scan(skewed):
     facts, probes, fact_df, probe_df = skewed
     args = (["k"], "at", "seen", ["v"], ["v"])
