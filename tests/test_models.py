@@ -147,6 +147,29 @@ def test_fold_with_null_keys_two_key_columns_and_a_hot_key(spark, segment_rows):
     assert sorted(map(str, expected)) == sorted(str((r["a"], r["b"], r["entry"], r["at"], r["value"])) for r in out)
 
 
+@pytest.mark.parametrize("segment_rows", [1000, 150])
+def test_fold_gives_python_a_batch_at_a_time(spark, segment_rows):
+    def bounded(rows, state):
+        if len(rows) > 50:
+            raise ValueError(f"{len(rows)} rows at once")
+        return counting(rows, state)
+
+    # Entries of whole numbers and a null one, over many batches of one key.
+    df = spark.range(400).selectExpr("cast(id div 390 as int) a", "id at", "nullif(id % 3, 2) who")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = folds.segmented_fold(df, folds.Fold(("who",), "string", bounded), ["a"], ["at"], keep=["at"], segment_rows=segment_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    seen, expected = {}, []
+    for at in range(400):
+        a, who = at // 390, None if at % 3 == 2 else at % 3
+        seen[a, who] = seen.get((a, who), 0) + 1
+        expected.append((a, at, who, str(seen[a, who])))
+    assert sorted((r["a"], r["at"], r["entry"], r["value"]) for r in out) == sorted(expected)
+
+
 def test_fold_of_no_rows(spark):
     df = spark.createDataFrame([], "a int, at int, who string")
     assert folds.segmented_fold(df, folds.Fold(("who",), "string", counting), ["a"], ["at"]).collect() == []
