@@ -275,3 +275,22 @@ def test_provider_mapping_ends(spark):
                                   "d int, source_id string, entity_type string, external_id string, as_of timestamp")
     found = {r["d"]: r["canonical_entity_id"] for r in rs.map_provider_ids(asked, mapping).collect()}
     assert found == {-1: None, 0: "old", 5: None, 9: "new"}
+
+
+def test_table_settings_bound_a_task_and_leave_corpus_queries_alone(spark):
+    from pitchlake.session import TABLE_SETTINGS, tune
+
+    held = {key: spark.conf.get(key, None) for key in TABLE_SETTINGS}
+    try:
+        tune(spark)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+        parts = spark.range(20).repartition("id").groupBy("id").count()
+        assert len(parts.collect()) == 20
+        tune(spark, tables=False)
+        assert not set(TABLE_SETTINGS.values()) & {spark.conf.get(key, None) for key in TABLE_SETTINGS}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7MB")
+        tune(spark, tables=False)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "7MB"
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
