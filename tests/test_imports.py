@@ -269,3 +269,15 @@ def test_hashes(spark):
     assert hashing.stable_hash({"b": 2, "a": 1}) == hashing.stable_hash({"a": 1, "b": 2})
     with pytest.raises(TypeError):
         hashing.stable_hash({"a": object()})
+
+
+def test_rows_of_one_id_are_compared_and_counted(spark):
+    rows = [("a", "A", "X", "NOR")] * 3 + [("b", "B", None, "NOR"), ("b", "C", None, "NOR"), ("b", "C", None, "NOR")]
+    rows += [(None, "N", None, "NOR"), (None, "M", None, "NOR"), ("c", "D", None, None)]
+    df = spark.createDataFrame(rows, "entity_id string, canonical_name string, short_name string, country_code string")
+    found = c.collapse(df, "entity_id", ["canonical_name", "country_code"])
+    assert {(r["entity_id"], r["canonical_name"], r["_occurrences"], tuple(r["_disagreeing"])) for r in found.collect()} == {
+        ("a", "A", 3, ()), ("b", "B", 3, ("canonical_name",)), (None, "M", 2, ("canonical_name",)), ("c", "D", 1, ())
+    }
+    # Rows are hashed; only those of ids in dispute are sorted.
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
