@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import gc
+import weakref
 import zlib
 
 import numpy as np
@@ -252,3 +254,26 @@ def test_added_tokens_are_the_plain_library_s(name):
         ids, counts = TokenEncoder(P.path(name)).encode(pa.array(texts, pa.string()), 7)
         found = np.split(ids, np.cumsum(counts)[:-1])
         assert [f.tolist() for f in found] == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_line_dedup_builds_no_small_relations_in_the_driver(spark):
+    from pitchlake.llm import registry
+
+    plan = registry.QUERIES["op3_line_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    common.prepare(spark)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_storing_rows_frees_the_driver_of_what_came_before(spark):
+    class Held:
+        pass
+
+    gc.disable()
+    try:
+        one = Held()
+        one.itself, gone = one, weakref.ref(one)
+        del one
+        assert gone() is not None
+        assert common.stored(spark.range(3), "freed").count() == 3 and gone() is None
+    finally:
+        gc.enable()
