@@ -141,6 +141,26 @@ def test_bootstrap_is_reproducible_and_ordinary(spark):
             ev.paired_bootstrap(df, ["g"], **bad)
 
 
+def test_bootstrap_draws_are_those_of_the_plain_formula():
+    counters = np.arange(1 << 33, (1 << 33) + 500)
+    for seed, group, replicate, stream, bound in ((0, 1, 2, 0, 10), (7, 0xFFFFFFF, 999, 1 << 20, 10**10 + 1)):
+        found = ev._drawn(ev._streams(seed, group, replicate, stream), counters, bound)
+        for c, n in zip(counters.tolist(), found.tolist()):
+            lanes = []
+            for state in ev._LANES:
+                for value in (seed, group, replicate, stream, c):
+                    state = ev._mixed(state, value)
+                lanes.append(state)
+            assert n == ((lanes[0] << 31) + lanes[1]) % bound
+
+
+def test_bootstrap_deals_its_work_by_number(spark):
+    # By size a few kilobytes that stand for all draws would be one task.
+    df = spark.range(300).select(F.col("id").alias("match_id"), F.lit("g").alias("g"), F.rand(1).alias("rps"), F.lit(0.0).alias("market_rps"))
+    plan = ev.paired_bootstrap(df, ["g"], block_rows=64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_ingest_runs(spark):
     sources = spark.createDataFrame(
         [("a", "p1", "c1", True, True, "licensed"), ("b", "p1", "c1", True, False, "licensed")],
