@@ -130,6 +130,19 @@ def test_a_backtest_written_again_replaces_itself(spark, tmp_path):
         store.write_backtest(root, runs.where("run_id = '8'"), spark.createDataFrame(rows, PREDICTION))
 
 
+def test_runs_of_a_backtest_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seed() -> int:
+        made.add(1)
+        return 0
+
+    runs = spark.createDataFrame([("7", "poisson", 3600)], "run_id string, model_key string, lead_time_seconds int")
+    row = [("7", 1, "poisson", T0, T0, 0.5, 0.3, 0.2, 1.2, 0.9, None)]
+    store.write_backtest(str(tmp_path), runs.withColumn("seed", F.udf(seed, "int")()), spark.createDataFrame(row, PREDICTION))
+    assert made.value == 1
+
+
 def test_predictions_show_only_once_their_run_is_written(spark, tmp_path):
     root = str(tmp_path)
     runs = spark.createDataFrame([("7", "poisson", 3600, 0)], RUN)
