@@ -192,6 +192,15 @@ def test_mixed_grid_keeps_one_row_per_run_and_target(matches, history):
     assert bt.leakage(rows).isEmpty()
 
 
+def test_leaks_are_counted_with_the_forecasts_in_one_pass(spark):
+    from checks import forecasts
+
+    sf = "/root/testdata/sf0.001"
+    relations = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    walk = forecasts._walk(spark, sf, [m.PoissonModel()], forecasts.LEADS, market=True)
+    assert 0 < relations(forecasts.leakage_check(spark, sf)) <= relations(walk)
+
+
 def test_explicit_grid_agrees_with_the_sums(spark):
     df = spark.createDataFrame([(1.3, 0.9), (0.05, 5.0), (4.9, 0.05)], "l double, m double")
     for rho in (None, -0.08):
