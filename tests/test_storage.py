@@ -130,6 +130,16 @@ def test_a_backtest_written_again_replaces_itself(spark, tmp_path):
         store.write_backtest(root, runs.where("run_id = '8'"), spark.createDataFrame(rows, PREDICTION))
 
 
+def test_tasks_do_not_grow_with_the_pieces():
+    few = [collectors.Piece("a", k, k + 1) for k in range(5)]
+    assert [s.pieces for s in collectors.shares(few)] == [(p,) for p in few] and collectors.shares([]) == []
+    many = [collectors.Piece(d, 64 * k, 64 * (k + 1)) for d in "ab" for k in range(20_000)] + [collectors.Piece("c", 0, 1 << 20)]
+    dealt = collectors.shares(many)
+    assert [p for s in dealt for p in s.pieces] == many and len(dealt) <= 2 * collectors.TASKS
+    large = collectors.shares([collectors.Piece("a", k << 20, (k + 1) << 20) for k in range(1 << 15)])
+    assert max(sum(p.end - p.start for p in s.pieces) for s in large) == collectors.TASK_BYTES
+
+
 def test_runs_of_a_backtest_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
