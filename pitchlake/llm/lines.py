@@ -62,11 +62,11 @@ def later_copies(docs: DataFrame, *, min_words: int = 10, id: str = "doc_id", te
         here = runs.where(F.col("length").between(width, 2 * width - 1))
         last = level.select("doc", F.col("q").alias("q_last"), F.col("rank").alias("rank_last"))
         both = here.join(level.select("doc", "q", "rank"), ["doc", "q"]).withColumn("q_last", F.col("q") + F.col("length") - width)
-        both = both.join(last, ["doc", "q_last"])
+        both = stored(both.join(last, ["doc", "q_last"]).select("doc", "q", "length", "rank", "rank_last"), "starts")
         firsts = stored(both.groupBy("length", "rank", "rank_last").agg(F.min(F.col("doc") + F.col("q")).alias("first")), "firsts")
-        gone.append(
-            both.join(firsts, ["length", "rank", "rank_last"]).where(F.col("doc") + F.col("q") > F.col("first")).select("doc", "q", "length")
-        )
+        # Each level is settled and stored at once: as parts of one plan, the joins of all levels would run side by side and fill the driver.
+        later = both.join(firsts, ["length", "rank", "rank_last"]).where(F.col("doc") + F.col("q") > F.col("first"))
+        gone.append(stored(later.select("doc", "q", "length"), "gone"))
         if 2 * width > deepest:
             break
         next_ = level.select("doc", (F.col("q") - width).alias("q"), F.col("rank").alias("rank_next"))

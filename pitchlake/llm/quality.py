@@ -163,13 +163,25 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 6, rate: float
 
 
 def fit(rows: DataFrame, *, text: str = "text", label: str = "quality", order: str = "doc_id", sample: int = 2000) -> QualityModel:
-    """Train on at most ``sample`` labelled rows, those with the smallest hash of their id; null labels and texts are passed over."""
+    """Train on at most ``sample`` labelled rows, those with the smallest hash of their id; null labels and texts are passed over.
+
+    The sample is one task's, which trains on it; the driver gets the finished model.
+    """
     own = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(order).cast("string"), F.lit(5)).alias("h")
     )
     n = own.count()
-    picked = own.where(share_of(F.col("h"), 1.2 * sample / max(n, 1))).orderBy("h", "text").limit(sample).collect()
-    return train([r["text"] for r in picked], np.array([min(max(r["label"], 0), 1) for r in picked], np.int64))
+    picked = own.where(share_of(F.col("h"), 1.2 * sample / max(n, 1))).orderBy("h", "text").limit(sample)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_pylist()) for batch in batches]
+        if held:
+            model = train([t for _, texts in held for t in texts], np.clip(np.concatenate([labels for labels, _ in held]), 0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([model.logits.tobytes()]), pa.array([model.bias])], ["logits", "bias"])
+
+    # The limit leaves one partition; saying so costs nothing and holds whatever the plan.
+    found = picked.select("label", "text").coalesce(1).mapInArrow(trained, "logits binary, bias double").first()
+    return QualityModel(np.frombuffer(found["logits"], np.float32), found["bias"]) if found else train([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, text: str = "text") -> DataFrame:

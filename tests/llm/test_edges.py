@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers as P
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from pitchlake.llm import common, language, lines, minhash, neighbours, packing, pieces, quality, search, sharding, varbyte
@@ -277,3 +278,26 @@ def test_storing_rows_frees_the_driver_of_what_came_before(spark):
         assert common.stored(spark.range(3), "freed").count() == 3 and gone() is None
     finally:
         gc.enable()
+
+
+def test_line_dedup_settles_each_level_in_a_plan_of_its_own(spark, docs):
+    leaves = lines.drop_repeated_lines(docs)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves <= 6  # what each of four levels deletes, the lines, the documents
+
+
+def test_the_quality_sample_stays_out_of_the_driver(spark, monkeypatch):
+    common.prepare(spark)
+    rows = [(k, ["bad bad bad", "good words here"][k % 2], k % 2) for k in range(40)] + [(None, "good words here", 5), (41, None, 1), (42, "a", None)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    picked = rows.where("quality is not null and text is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "text").collect()
+    want = quality.train([r["text"] for r in picked], np.array([min(r["quality"], 1) for r in picked]))
+    train, empty = quality.train, quality.train([], np.zeros(0))
+
+    def in_tasks_only(texts, labels):
+        assert not texts or TaskContext.get() is not None
+        return train(texts, labels)
+
+    monkeypatch.setattr(quality, "train", in_tasks_only)
+    got = quality.fit(rows)
+    assert got.bias == want.bias and (got.logits == want.logits).all()
+    assert quality.fit(rows.limit(0)).bias == empty.bias
