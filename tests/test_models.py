@@ -249,3 +249,28 @@ def test_parameter_checks():
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_mean_score_grid_is_the_mean_of_the_grids(spark, monkeypatch):
+    monkeypatch.setattr(rates, "GRID_ROWS", 3)  # a batch in several parts
+    values = [0.05, 0.3, 1.4, 5.0, 30.0]
+    rows = spark.createDataFrame([(("a", "b", None)[k % 3], x, y) for k, (x, y) in enumerate((x, y) for x in values for y in values)], "k string, l double, m double")
+    for rho, top in ((None, 8), (-0.08, 8), (0.2, 3), (0.2, 0)):
+        cells = rows.select("k", F.inline(rates.score_grid(F.col("l"), F.col("m"), rho=rho, max_goals=top)))
+        want = {(r["k"], r["h"], r["a"]): r for r in cells.groupBy("k", "h", "a").agg(F.count("*").alias("n"), F.avg("p").alias("p")).collect()}
+        found = rates.mean_score_grid(rows, "k", "l", "m", rho=rho, max_goals=top)
+        assert "transform" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["k"], r["home_goals"], r["away_goals"]): r for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[c]["forecasts"] == want[c]["n"] and got[c]["mean_probability"] == pytest.approx(want[c]["p"], rel=1e-12) for c in want)
+    assert rates.mean_score_grid(rows.limit(0), "k", "l", "m").count() == 0
+    for bad in ("null", "1000"):  # e**-1000 is 0
+        with pytest.raises(Exception, match="no probability mass"):
+            rates.mean_score_grid(rows.withColumn("l", F.expr(f"cast({bad} as double)")), "k", "l", "m").collect()
+
+
+def test_score_grid_means_adds_up_grids_before_they_are_rows(spark):
+    from checks import forecasts
+
+    plan = forecasts.score_grid_means(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "inline(" not in plan.split("MapInArrow")[0]
