@@ -1,6 +1,7 @@
 """Online Elo: ratings kept as keyed state, results applied in event-time order.
 
-Waiting results lie in a map keyed by the millisecond of their instant, one timer each, so a timer reads and removes its own results and no others.
+Waiting results lie in a map keyed by the millisecond of their instant and a running number, one timer a millisecond, so a timer reads and removes its own
+results and no others.  Arriving rows are put there in parts of bounded size, so a worker holds a part of a batch, or the results of one millisecond.
 State is one rating per club plus the results still waiting for the watermark, so it is bounded by clubs and by the lateness
 allowed.  A result that arrives after the watermark passed it cannot be applied in order any more; it is emitted with a null
 rating for the batch plan to pick up, never silently lost.  A row without a match only moves the watermark.
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +23,23 @@ from pitchlake.functions import rates
 from pitchlake.plans.models import EloModel
 
 OUTPUT = "competition_key string, match_id string, club_id string, result_observed_at timestamp, rating double"
+# Rows that wait in a worker before they are put into state.
+PART_ROWS = 200_000
 
 
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+# What is kept of a waiting result, in the order in which results count.
+_KEPT = ["observed", "kickoff", "match_id", "home_club_id", "away_club_id", "actual"]
 
 
-def _micros(instant) -> int:
+def _micros(instants: pd.Series) -> np.ndarray:
     """Microseconds since the epoch."""
-    return pd.Timestamp(instant).value // 1000
+    return instants.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _both(home: list, away: list) -> list:
+    """A value of the home club and one of the away club for each match, in turn."""
+    return list(chain.from_iterable(zip(home, away, strict=True)))
 
 
 class _EloProcessor(StatefulProcessor):
@@ -37,47 +49,69 @@ class _EloProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ratings = handle.getMapState("ratings", "club_id string", "rating double")
-        # Results of one millisecond as a JSON list; the key is when their timer fires.
-        self.waiting = handle.getMapState("waiting", "fires bigint", "results string")
+        # Parts of the results of one millisecond as JSON lists, a list for each column, numbered from 0; ``fires`` is when their timer fires.
+        self.waiting = handle.getMapState("waiting", "fires bigint, part int", "results string")
+        # The number of parts.
+        self.parts = handle.getMapState("parts", "fires bigint", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        late: list[tuple] = []
-        fresh: dict[int, list] = {}
+        fresh: list[pd.DataFrame] = []
         for batch in rows:
-            for r in batch[batch["match_id"].notna()].itertuples(index=False):
-                observed = _micros(r.result_observed_at)
-                fires = observed // 1000 + 1
-                if observed <= watermark * 1000:
-                    late.extend((key[0], r.match_id, club, r.result_observed_at, None) for club in (r.home_club_id, r.away_club_id))
-                else:
-                    fresh.setdefault(fires, []).append((observed, _micros(r.kickoff_at), r.match_id, r.home_club_id, r.away_club_id, r.actual))
-        for fires, results in fresh.items():
-            if self.waiting.containsKey((fires,)):
-                results = json.loads(self.waiting.getValue((fires,))[0]) + results
-            else:
+            batch = batch[batch["match_id"].notna()]
+            batch = batch.assign(observed=_micros(batch["result_observed_at"]), kickoff=_micros(batch["kickoff_at"]))
+            late = batch["observed"] <= watermark * 1000
+            if late.any():
+                yield self._emitted(key, batch[late], np.nan)
+            fresh.append(batch.loc[~late, _KEPT])
+            if sum(map(len, fresh)) >= PART_ROWS:
+                self._put(fresh)
+                fresh = []
+        self._put(fresh)
+
+    def _put(self, fresh: list[pd.DataFrame]) -> None:
+        """Let results wait for their timers."""
+        if not fresh:
+            return
+        rows = pd.concat(fresh)
+        for fires, own in rows.groupby(rows["observed"] // 1000 + 1):
+            fires = int(fires)
+            known = self.parts.getValue((fires,))
+            part = known[0] if known else 0
+            if not part:
                 self.handle.registerTimer(fires)
-            self.waiting.updateValue((fires,), (json.dumps(results),))
-        if late:
-            yield pd.DataFrame(late, columns=_COLUMNS)
+            self.waiting.updateValue((fires, part), (json.dumps([own[c].tolist() for c in _KEPT]),))
+            self.parts.updateValue((fires,), (part + 1,))
+
+    def _emitted(self, key, matches: pd.DataFrame, ratings) -> pd.DataFrame:
+        """Two rows for each match."""
+        clubs = _both(matches["home_club_id"].tolist(), matches["away_club_id"].tolist())
+        observed = np.repeat(matches["observed"].to_numpy(np.int64), 2).astype("datetime64[us]")
+        ids = np.repeat(matches["match_id"].to_numpy(object), 2)
+        return pd.DataFrame(dict(zip(_COLUMNS, (key[0], ids, clubs, observed, ratings), strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         fires = expiredTimerInfo.getExpiryTimeInMs()
-        results = sorted(json.loads(self.waiting.getValue((fires,))[0]))
-        self.waiting.removeKey((fires,))
+        results = []
+        for part in range(self.parts.getValue((fires,))[0]):
+            results.extend(zip(*json.loads(self.waiting.getValue((fires, part))[0]), strict=True))
+            self.waiting.removeKey((fires, part))
+        self.parts.removeKey((fires,))
+        results.sort()
         ratings = {}
         for club in {c for r in results for c in r[3:5]}:
-            known = self.ratings.containsKey((club,))
-            ratings[club] = self.ratings.getValue((club,))[0] if known else self.model.initial_rating
-        out = []
-        for observed, _, match_id, home, away, actual in results:
-            gap = (ratings[home] + self.model.home_advantage) - ratings[away]
-            delta = self.model.k_factor * (actual - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
+            known = self.ratings.getValue((club,))
+            ratings[club] = known[0] if known else self.model.initial_rating
+        advantage, factor = self.model.home_advantage, self.model.k_factor
+        after = []
+        for _, _, _, home, away, actual in results:
+            gap = (ratings[home] + advantage) - ratings[away]
+            delta = factor * (actual - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
             ratings[home], ratings[away] = ratings[home] + delta, ratings[away] - delta
-            out.extend((key[0], match_id, club, pd.Timestamp(observed, unit="us"), ratings[club]) for club in (home, away))
+            after += (ratings[home], ratings[away])
         for club, rating in ratings.items():
             self.ratings.updateValue((club,), (rating,))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        yield self._emitted(key, pd.DataFrame(results, columns=_KEPT), after)
 
     def close(self) -> None:
         pass

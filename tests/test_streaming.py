@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,55 @@ def test_updates_keep_the_newest_and_survive_a_repeated_batch(spark, tmp_path):
     (log / "commits" / f".{newest.name}.crc").unlink(missing_ok=True)
     assert run() == first
     assert spark.read.parquet(out).count() == 3
+
+
+class _Map(dict):
+    getValue, containsKey, updateValue, removeKey = dict.get, dict.__contains__, dict.__setitem__, dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *schemas):
+        return self.maps.setdefault(name, _Map())
+
+    def registerTimer(self, fires):
+        self.timers.append(fires)
+
+
+def test_online_elo_puts_arriving_results_into_state_in_parts(monkeypatch):
+    monkeypatch.setattr(elo, "PART_ROWS", 7, raising=False)
+    start = pd.Timestamp("2026-01-01")
+    rows = [
+        (f"m{k:02}", str(k % 3), str((k + 1) % 3 + (k % 2) * 3), start, start + pd.Timedelta(minutes=k * 7 % 5, microseconds=k % 4), (0.0, 0.5, 1.0)[k % 3])
+        for k in range(40)
+    ]
+    rows += [("late", "0", "1", start, start - pd.Timedelta(days=1), 1.0), (None, None, None, start, start, 0.0)]
+    names = ["match_id", "home_club_id", "away_club_id", "kickoff_at", "result_observed_at", "actual"]
+    frame = pd.DataFrame(rows, columns=names)
+    handle, waited = _Handle(), []
+    processor = elo._EloProcessor(EloModel())
+    processor.init(handle)
+
+    def batches():
+        for first in range(0, len(frame), 5):
+            waited.append(len(handle.maps["waiting"]))
+            yield frame[first : first + 5]
+
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: start.value // 10**6 - 1000)
+    late = pd.concat(processor.handleInputRows(("c",), batches(), now))
+    assert late["match_id"].tolist() == ["late"] * 2 and late["rating"].isna().all() and (late["result_observed_at"] == rows[40][4]).all()
+    assert waited[2] > 0, "nothing was put into state before all rows had arrived"
+    assert len(handle.timers) == len(set(handle.timers))
+    fired = [processor.handleExpiredTimer(("c",), now, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)) for t in sorted(handle.timers)]
+    got = pd.concat([frame for frames in fired for frame in frames])
+    ratings, want = {}, []
+    for observed, match, home, away, actual in sorted((r[4], r[0], r[1], r[2], r[5]) for r in rows[:40]):
+        gap = ratings.get(home, EloModel().initial_rating) + EloModel().home_advantage - ratings.get(away, EloModel().initial_rating)
+        delta = EloModel().k_factor * (actual - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
+        for club, change in ((home, delta), (away, -delta)):
+            ratings[club] = ratings.get(club, EloModel().initial_rating) + change
+            want.append(("c", match, club, observed, ratings[club]))
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert not handle.maps["waiting"] and not handle.maps["parts"]
