@@ -301,3 +301,19 @@ def test_the_quality_sample_stays_out_of_the_driver(spark, monkeypatch):
     got = quality.fit(rows)
     assert got.bias == want.bias and (got.logits == want.logits).all()
     assert quality.fit(rows.limit(0)).bias == empty.bias
+
+
+def test_search_queries_travel_as_places_among_the_terms_of_a_bundle():
+    rng = np.random.default_rng(3)
+    lists = [[{"term": (int(t) - 1000) * 2**52 + int(t), "n": int(t) + 1} for t in rng.permutation(2000)[: k * 7 % 600]] for k in range(1, 600)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(lists)), pa.int64()), pa.array(lists, pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int32())])))], ["id", "terms"]
+    )
+    bundles = [row for part in search.bundled([batch.slice(0, 300), batch.slice(300), batch.slice(0, 0)]) for row in part.to_pylist()]
+    assert len(bundles) == 4 and len(bundles) < len(lists)
+    got = {}
+    for bundle in bundles:
+        ids, own, terms, counts = search.unbundled(bundle)
+        got |= {i: sorted(zip(terms[at].tolist(), counts[at].tolist(), strict=True)) for i, at in zip(ids, own, strict=True)}
+    assert got == {k: sorted((x["term"], x["n"]) for x in own) for k, own in enumerate(lists)}
+    assert sum(len(zlib.compress(b["codes"], 1)) for b in bundles) < 2 * sum(map(len, lists))
