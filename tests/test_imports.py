@@ -281,3 +281,22 @@ def test_rows_of_one_id_are_compared_and_counted(spark):
     }
     # Rows are hashed; only those of ids in dispute are sorted.
     assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_import_leaves_no_shuffles_and_no_checkpoints(spark, write, tmp_path):
+    from pathlib import Path
+    from time import sleep
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    kept = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, folders = shuffles(), set(kept.iterdir())
+    seeds, observations, _ = load(spark, write)
+    summary = imports.import_dataset(TableStore(spark, str(tmp_path / "lake")), "r1", seeds, observations)
+    for _ in range(40):  # files go a moment after their plan
+        left = shuffles() - before
+        if not left:
+            break
+        sleep(0.25)
+    assert not left and set(kept.iterdir()) == folders
+    assert total(summary)[0] == 27
