@@ -300,3 +300,16 @@ def test_an_import_leaves_no_shuffles_and_no_checkpoints(spark, write, tmp_path)
         sleep(0.25)
     assert not left and set(kept.iterdir()) == folders
     assert total(summary)[0] == 27
+
+
+def test_rows_that_are_not_new_are_kept_as_counts(spark):
+    schema = "entity_id string, canonical_name string, short_name string, country_code string"
+    rows = spark.createDataFrame([("a", "A", "x", "NOR"), ("b", "B", "x", "NOR"), ("b", "B", "x", "NOR"), ("c", "C", "x", "NOR")], schema)
+    stored = spark.createDataFrame([("b", "B", None, "NOR"), ("c", "D", None, "NOR")], schema)
+    classified = {"clubs": c.classify(rows, stored, *c.IDENTITY["clubs"])}
+    needed = {"clubs": imports._needed("clubs", classified["clubs"])}
+    found = {(r["action"], r["entity_id"], r["canonical_name"], r["short_name"], r["_occurrences"]) for r in needed["clubs"].collect()}
+    assert found == {("insert", "a", "A", "x", 1), ("existing", None, None, None, 2), ("conflict", "c", None, None, 1)}
+    assert needed["clubs"].columns == classified["clubs"].columns
+    assert sorted(map(str, c.summarise(needed).collect())) == sorted(map(str, c.summarise(classified).collect()))
+    assert c.conflicts(needed).collect() == c.conflicts(classified).collect()
